@@ -29,6 +29,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 
 
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rules
+
+    return quality_rules(read(spark, sf_dir, "documents")).drop("_text")
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, after the workers have this package."""
 
@@ -41,8 +53,10 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_best_fit_packing, op8_token_counts)}
+    return {f.__name__: shipped(f) for f in (op1_best_fit_packing, op6_mixing_sources, op8_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import quality
+
+    return {"op10_quality_rules": quality.ORACLE}
