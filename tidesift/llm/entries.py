@@ -29,6 +29,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -53,7 +59,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_best_fit_packing, op6_mixing_sources, op8_token_counts, op10_quality_rules)}
+    return {f.__name__: shipped(f) for f in (op1_best_fit_packing, op4_minhash_near_dedup, op6_mixing_sources, op8_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
