@@ -41,6 +41,12 @@ def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -59,7 +65,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_best_fit_packing, op4_minhash_near_dedup, op6_mixing_sources, op8_token_counts, op10_quality_rules)}
+    return {f.__name__: shipped(f) for f in (op1_best_fit_packing, op4_minhash_near_dedup, op6_mixing_sources, op8_token_counts, op9_line_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
