@@ -23,6 +23,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 4096)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_counts
 
@@ -65,7 +71,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_best_fit_packing, op4_minhash_near_dedup, op6_mixing_sources, op8_token_counts, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: shipped(f) for f in (op1_best_fit_packing, op4_minhash_near_dedup, op6_mixing_sources, op7_lm_scoring, op8_token_counts, op9_line_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
