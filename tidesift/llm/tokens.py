@@ -46,6 +46,7 @@ class PieceCounts:
         counts = self.counts
         if len(counts) > self.entries:
             counts.clear()
+        counts[""] = 1  # a space mark alone
         new = list({w for p in parts for w in p if w not in counts})
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
@@ -100,7 +101,8 @@ class WordIds:
     """Token ids (unsigned little-endian 32-bit) of a tokenizer that drops white space, by chunk between spaces.
 
     Its normaliser and its splitting look at no more than a chunk, so ids of a text are those of its chunks in
-    order. Chunks that are new to the table are encoded together, parted by a special token that stands for no text.
+    order; those of a word with marks after it are the word's and the marks'. What is new to the tables is encoded
+    together, parted by a special token that stands for no text.
     """
 
     def __init__(self, path: str, entries: int = TABLE_ENTRIES):
@@ -115,24 +117,41 @@ class WordIds:
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.mark = self.added[0]
         self.mark_id = self.model.token_to_id(self.mark)
-        self.entries, self.ids = entries, {}
+        self.entries, self.ids, self.words = entries, {}, {}
+
+    def stem(self, chunk: str) -> tuple[str, str] | None:
+        """A word in lower case and the marks after it, where the tokenizer's splitting surely parts the two."""
+        word = chunk.rstrip(".,;:!?")
+        if word.isalpha() and all(ord(c) < 0x250 and c != "\u0130" for c in ([] if word.isascii() else word)):
+            return word.lower(), chunk[len(word) :]
+        return None
 
     def learn(self, chunks: list[str]) -> None:
+        if len(self.words) > self.entries:
+            self.words.clear()
+        parts = [self.stem(c) or (c, "") for c in chunks]
+        words = self.words
+        if new := list({w for p in parts for w in p if w not in words}):
+            self.look_up(new)
+        self.ids.update((c, words[w] + words[m] if m else words[w]) for c, (w, m) in zip(chunks, parts, strict=True))
+
+    def look_up(self, new: list[str]) -> None:
         import numpy as np
 
-        plain = [c for c in chunks if not any(m in c for m in self.added)]
+        plain = [c for c in new if not any(m in c for m in self.added)]
         for k in range(0, len(plain), 16_384):
             some = plain[k : k + 16_384]
             groups = [some[i : i + 256] for i in range(0, len(some), 256)]
             for group, found in zip(groups, self.model.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False), strict=True):
                 ids = np.array(found.ids, dtype="<u4")
-                parts = np.split(ids, np.flatnonzero(ids == self.mark_id))
-                if len(parts) != len(group):
+                cuts = np.flatnonzero(ids == self.mark_id)
+                if len(cuts) != len(group) - 1:
                     raise ValueError("the marks between chunks were lost")
-                self.ids.update((w, (p[1:] if i else p).tobytes()) for i, (w, p) in enumerate(zip(group, parts, strict=True)))
-        for c in chunks:
-            if c not in self.ids:
-                self.ids[c] = np.array(self.model.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                raw, starts, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+                self.words.update((w, raw[a:b]) for w, a, b in zip(group, starts, ends, strict=True))
+        for c in new:
+            if c not in self.words:
+                self.words[c] = np.array(self.model.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [x.replace("\n", " ").split(" ") for x in texts]
