@@ -53,6 +53,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -83,7 +89,7 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: shipped(f) for f in (op1_best_fit_packing, op2_toxicity, op3_nearest_neighbours, op4_minhash_near_dedup, op6_mixing_sources, op7_lm_scoring, op8_token_counts, op9_line_dedup, op10_quality_rules)}
+    return {f.__name__: shipped(f) for f in (op1_best_fit_packing, op2_toxicity, op3_nearest_neighbours, op4_minhash_near_dedup, op5_html_extraction, op6_mixing_sources, op7_lm_scoring, op8_token_counts, op9_line_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
