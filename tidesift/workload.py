@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
+from .plans import tpch
+
 
 def queries():
-    return {}
+    found = {f"tpch_{name}": functools.partial(tpch.run, name=name) for name in tpch.QUERIES}
+    return found
 
 
 def oracle_sql():
-    return {}
+    found = {f"tpch_{name}": tpch.render(name) for name in tpch.QUERIES}
+    return found
