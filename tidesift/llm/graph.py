@@ -2,36 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .base import drop, stash
 
 
-def _least_neighbour(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) with m, the least of u and its vs; the sum combines before it shuffles, the join splits hubs."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("_u")).drop("_u")
+def _large_star(links: DataFrame) -> DataFrame:
+    """Links every larger neighbour of a node to the least of the node and its neighbours.
+
+    The minimum combines before it shuffles and the join splits hubs, so a node with a third of all links is no one task.
+    """
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
+    return both.where("v > u").join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Links a node and its smaller neighbours to the least of them; after a large star a node has few."""
+    by = Window.partitionBy("u")
+    d = links.withColumn("m", F.min("v").over(by)).withColumn("k", F.row_number().over(by.orderBy("v")))
+    own = F.when(F.col("k") == 1, F.array(F.struct("u", F.col("m").alias("v")))).otherwise(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+    return d.select(F.explode(own).alias("x")).select("x.u", "x.v").where("u <> v")
 
 
 def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """node, component (its smallest reachable node) for the nodes of links (a, b); links in any order, repeats allowed.
 
-    Alternating large-star and small-star steps: each links a node's neighbours to the least of them, so the number of
-    links never grows and the depth falls by a constant factor. Links are stashed after each round; nothing but their
-    count and a hash sum reaches the driver.
+    Alternating large-star and small-star steps: the number of links never grows and their depth falls by a constant
+    factor. Links are stashed after each round; nothing but their count and a sum of hashes reaches the driver.
     """
-    now = stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    now = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    mark, old = None, None
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _least_neighbour(large)
-        linked = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        after = stash(linked.distinct())
-        found = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        drop(now)
-        now = after
+        seen = Observation()
+        after = stash(_small_star(_large_star(now)).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("sum")))
+        found = seen.get
+        if old is not None:
+            drop(old)
+        now = old = after
         if found == mark:
             break
         mark = found
