@@ -56,7 +56,11 @@ def d2(column: str) -> Column:
 
 
 REV = tpch.REVENUE
-_revenue = d2("l_extendedprice") * (1 - d2("l_discount"))
+
+
+def revenue() -> Column:
+    return d2("l_extendedprice") * (1 - d2("l_discount"))
+
 
 # ---------------------------------------------------------------- scans, sinks, catalog
 
@@ -449,21 +453,22 @@ query("SELECT c_custkey AS k FROM customer WHERE c_custkey < 50 UNION ALL SELECT
     lambda spark, sf: agg.combine(scan(spark, path(sf, "customer"), select=["c_custkey AS k"], where="c_custkey < 50"), scan(spark, path(sf, "supplier"), select=["s_suppkey AS k"])))
 
 
-def one(name: str, of: str, keys: list, sql: str, having: str | None = None, **sums: Column) -> None:
-    query(sql, name)(lambda spark, sf: agg.aggregate(scan(spark, path(sf, of)), keys, having, **sums))
+def one(name: str, of: str, keys: list, sql: str, having: str | None = None, **sums: Callable[[], Column]) -> None:
+    """One aggregation of one table; columns are made when it runs, as they need a session."""
+    query(sql, name)(lambda spark, sf: agg.aggregate(scan(spark, path(sf, of)), [k() if callable(k) else k for k in keys], having, **{n: c() for n, c in sums.items()}))
 
 
-one("agg_sum", "orders", ["o_orderstatus"], "SELECT o_orderstatus, CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(38,4)) AS s FROM orders GROUP BY 1", s=agg.money_sum(d2("o_totalprice")))
-one("agg_count", "orders", ["o_orderstatus"], "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY 1", n=F.count("*"))
-one("agg_avg", "orders", ["o_orderstatus"], "SELECT o_orderstatus, ROUND(AVG(o_totalprice), 4) AS m FROM orders GROUP BY 1", m=F.round(F.avg("o_totalprice"), 4))
-one("agg_min", "orders", ["o_custkey"], "SELECT o_custkey, MIN(o_orderdate) AS m FROM orders GROUP BY 1", m=F.min("o_orderdate"))
-one("agg_max", "orders", ["o_custkey"], "SELECT o_custkey, MAX(o_totalprice) AS m FROM orders GROUP BY 1", m=F.max("o_totalprice"))
-one("agg_count_distinct", "lineitem", ["l_returnflag"], "SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1", n=F.countDistinct("l_suppkey"))
+one("agg_sum", "orders", ["o_orderstatus"], "SELECT o_orderstatus, CAST(SUM(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(38,4)) AS s FROM orders GROUP BY 1", s=lambda: agg.money_sum(d2("o_totalprice")))
+one("agg_count", "orders", ["o_orderstatus"], "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY 1", n=lambda: F.count("*"))
+one("agg_avg", "orders", ["o_orderstatus"], "SELECT o_orderstatus, ROUND(AVG(o_totalprice), 4) AS m FROM orders GROUP BY 1", m=lambda: F.round(F.avg("o_totalprice"), 4))
+one("agg_min", "orders", ["o_custkey"], "SELECT o_custkey, MIN(o_orderdate) AS m FROM orders GROUP BY 1", m=lambda: F.min("o_orderdate"))
+one("agg_max", "orders", ["o_custkey"], "SELECT o_custkey, MAX(o_totalprice) AS m FROM orders GROUP BY 1", m=lambda: F.max("o_totalprice"))
+one("agg_count_distinct", "lineitem", ["l_returnflag"], "SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1", n=lambda: F.countDistinct("l_suppkey"))
 one("agg_conditional", "orders", ["o_orderstatus"], "SELECT o_orderstatus, CAST(SUM(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS urgent FROM orders GROUP BY 1",
-    urgent=F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)))
-one("agg_global", "lineitem", [], f"SELECT CAST(SUM({REV}) AS DECIMAL(38,4)) AS revenue, COUNT(*) AS n FROM lineitem", revenue=agg.money_sum(_revenue), n=F.count("*"))
-one("agg_expr_key", "orders", [F.year("o_orderdate").cast("long").alias("y")], "SELECT CAST(YEAR(o_orderdate) AS BIGINT) AS y, COUNT(*) AS n FROM orders GROUP BY 1", n=F.count("*"))
-one("agg_having", "orders", ["o_custkey"], "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1 HAVING COUNT(*) > 12", "n > 12", n=F.count("*"))
+    urgent=lambda: F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)))
+one("agg_global", "lineitem", [], f"SELECT CAST(SUM({REV}) AS DECIMAL(38,4)) AS revenue, COUNT(*) AS n FROM lineitem", revenue=lambda: agg.money_sum(revenue()), n=lambda: F.count("*"))
+one("agg_expr_key", "orders", [lambda: F.year("o_orderdate").cast("long").alias("y")], "SELECT CAST(YEAR(o_orderdate) AS BIGINT) AS y, COUNT(*) AS n FROM orders GROUP BY 1", n=lambda: F.count("*"))
+one("agg_having", "orders", ["o_custkey"], "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1 HAVING COUNT(*) > 12", "n > 12", n=lambda: F.count("*"))
 query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer", "agg_distinct_rows")(lambda spark, sf: scan(spark, path(sf, "customer"), select=["c_nationkey", "c_mktsegment"]).distinct())
 query("SELECT n, COUNT(*) AS customers FROM (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1) t GROUP BY n", "agg_two_level")(
     lambda spark, sf: agg.aggregate(agg.aggregate(scan(spark, path(sf, "orders")), ["o_custkey"], n=F.count("*")), ["n"], customers=F.count("*")))
