@@ -64,6 +64,11 @@ def ship(spark: SparkSession) -> None:
     context._tidesift_shipped = True
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """row: each row as one struct, so that no column of the input can clash with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def id_text(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id as long, text (null as empty) and the columns named; whatever else the table has goes."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *keep)

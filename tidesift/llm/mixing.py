@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, stash
+from .base import WORD, stash, whole_rows
 
 WEIGHTS = (3, 1, 2)
 
@@ -136,7 +136,7 @@ def mix_rows(docs: DataFrame, block: int = 64, seed: int = 7) -> DataFrame:
     # repeated rows have one sum: which of them is taken doesn't matter
     times = met.groupBy(F.col("doc_id").alias("_d"), F.col("_text").alias("_h"), F.col("number").alias("_m")).agg(
         F.sum(F.col("full") + F.when(F.col("part") > F.col("at"), 1).otherwise(0)).alias("_times")).where("_times > 0")
-    one = docs.withColumn("_h0", F.xxhash64("text")).dropDuplicates(["doc_id", "_h0", "source"])
+    one = whole_rows(docs).withColumns({"_i": F.col("row.doc_id"), "_x": F.xxhash64("row.text"), "_s": F.col("row.source")}).dropDuplicates(["_i", "_x", "_s"])
     times = times.join(plan.select(F.col("number").alias("_p"), F.col("source").alias("_source")), F.col("_m") == F.col("_p"))
-    out = one.join(times, (F.col("doc_id") == F.col("_d")) & (F.col("_h0") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_source")))
-    return out.withColumn("_k", F.explode(F.expr("sequence(1L, _times)"))).select(*docs.columns)
+    out = one.join(times, (F.col("_i") == F.col("_d")) & (F.col("_x") == F.col("_h")) & F.col("_s").eqNullSafe(F.col("_source")))
+    return out.withColumn("_k", F.explode(F.expr("sequence(1L, _times)"))).select("row.*")

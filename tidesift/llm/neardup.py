@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_text, stash
+from .base import id_text, stash, whole_rows
 from .graph import connected_components
 
 SHINGLE = 5
@@ -232,4 +232,5 @@ def cluster_links(texts: DataFrame, clusters: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns; repeated rows of it count as copies."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    one = whole_rows(docs).withColumn("_doc", F.col("row.doc_id")).dropDuplicates(["_doc"])
+    return one.join(kept, F.col("_doc") == F.col("_id"), "left_semi").select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stash
+from .base import stash, whole_rows
 
 SPACE = r"[\\x20\\x09-\\x0D]"
 
@@ -107,4 +107,4 @@ from c
 def quality_filter(docs: DataFrame, **settings) -> DataFrame:
     """The rows that ``quality_rules`` keeps, with all their columns."""
     judged = quality_rules(docs, **settings).where("kept").select(F.col("doc_id").alias("_i"), F.col("_text").alias("_k")).distinct()
-    return docs.join(judged, (F.col("doc_id") == F.col("_i")) & (F.xxhash64("text") == F.col("_k")), "left_semi")
+    return whole_rows(docs).join(judged, (F.col("row.doc_id") == F.col("_i")) & (F.xxhash64("row.text") == F.col("_k")), "left_semi").select("row.*")
