@@ -83,7 +83,7 @@ def block_slots(plan: DataFrame, block: int = 64, per_shard: int = 4096, seed: i
     p = p.withColumn("slots", F.expr(f"passes * blocks + cast(ceil(rest / {block}) as bigint)"))
     p = p.withColumn("shards", F.ceil(F.sum("slots").over(Window.partitionBy()) / per_shard))
     p = p.where("slots > 0").withColumn("chunk", F.explode(F.expr("sequence(0L, (slots - 1) div 65536)")))
-    p = p.repartition("number", "chunk")
+    p = p.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "chunk")
     p = p.withColumn("slot", F.explode(F.expr("sequence(chunk * 65536, least(slots, (chunk + 1) * 65536) - 1)")))
     p = p.withColumn("_x", F.expr("slot % blocks")).withColumn("index", F.expr(permuted("_x", "blocks", "number", seed)))
     words = F.expr(f"if(slot < passes * blocks, {block}L, least({block}L, rest - (slot - passes * blocks) * {block}))")
@@ -99,8 +99,10 @@ def block_pieces(placed: DataFrame, block: int = 64) -> DataFrame:
 
 
 def _uses(slots: DataFrame, block: int) -> DataFrame:
+    """How often the mix takes each block. It grows with the input, but the optimizer takes it for as small as the plan that
+    it is made from, so it is never to be broadcast."""
     return slots.groupBy(F.col("number").alias("_n"), F.col("index").alias("_i")).agg(
-        F.count(F.when(F.col("words") >= block, 1)).alias("full"), F.max(F.when(F.col("words") < block, F.col("words")).otherwise(0)).alias("part"))
+        F.count(F.when(F.col("words") >= block, 1)).alias("full"), F.max(F.when(F.col("words") < block, F.col("words")).otherwise(0)).alias("part")).hint("merge")
 
 
 def mix(docs: DataFrame, block: int = 64, seed: int = 7) -> DataFrame:

@@ -198,7 +198,8 @@ def cluster_links(texts: DataFrame, clusters: DataFrame) -> DataFrame:
     c = c.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     c = c.select("node", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "component")
     c = c.withColumn("task", F.xxhash64("component", "i", "j"))
-    rows = texts.join(c, F.col("doc_id") == F.col("node")).select("component", "i", "j", "node", "block", "text", "task")
+    # copies for blocks make it larger than the optimizer can tell, so it is never to be broadcast
+    rows = texts.join(c.hint("merge"), F.col("doc_id") == F.col("node")).select("component", "i", "j", "node", "block", "text", "task")
     rows = rows.repartition("task").sortWithinPartitions("component", "i", "j", "node")
 
     def each(batches):
