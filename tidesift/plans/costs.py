@@ -150,6 +150,11 @@ def fit_bandwidth(points: DataFrame, grid: DataFrame) -> DataFrame:
     return scored.orderBy("error", "b1", "peak", "gamma").limit(1)
 
 
+def read_grid(tasks: DataFrame) -> DataFrame:
+    """parallel, size_mb and the median and 95th percentile of read time over its p tasks."""
+    return tasks.groupBy("parallel", "size_mb").agg(F.percentile("t_read", 0.5).alias("read_s"), F.percentile("t_read", 0.95).alias("read_p95"), F.count("*").alias("p"))
+
+
 def fit_size(tasks: DataFrame, exponents: Iterable[float]) -> DataFrame:
     """stage and the fixed seconds, seconds a MB and contention exponent g of t = a + b * MB * k^g, of the least median
     relative error over the stated exponents; stages of under 20 tasks are left out. Tasks need k."""

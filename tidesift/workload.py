@@ -20,6 +20,7 @@ from .operators.scan import empty_like, read_columns, referenced_columns, scan
 from .plans import costs, planner, sqltext, steps, tpch
 from .session import register, table
 from .sources import catalog, text
+from .streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -562,6 +563,16 @@ def key_statistics(spark, sf):
     return agg.aggregate(o, row_count=F.count("*"), distinct_count=F.countDistinct("o_custkey"), integral=F.lit(bloom.integral(o, "o_custkey")))
 
 
+query("SELECT COUNT(*) AS row_count FROM orders", "row_count")(lambda spark, sf: agg.aggregate(scan(spark, path(sf, "orders")), row_count=F.count("*")))
+query("SELECT COUNT(DISTINCT o_custkey) AS distinct_count FROM orders", "distinct_count")(lambda spark, sf: agg.aggregate(scan(spark, path(sf, "orders")), distinct_count=F.countDistinct("o_custkey")))
+
+
+@query("SELECT * FROM (VALUES ('c_custkey', true), ('c_name', false), ('c_nationkey', true), ('c_acctbal', false), ('c_mktsegment', false)) t(name, integral)")
+def col_is_integral(spark, sf):
+    c = scan(spark, path(sf, "customer"))
+    return spark.createDataFrame([(n, bloom.integral(c, n)) for n in c.columns], "name string, integral boolean")
+
+
 @query("SELECT * FROM (VALUES ('customer', 'c_custkey', 'orders', 'o_custkey'), ('lineitem', 'l_orderkey', 'orders', 'o_orderkey')) t(t1, c1, t2, c2)")
 def join_edges(spark, sf):
     columns = {t: table(spark, sf, t).columns for t in ("customer", "orders", "lineitem")}
@@ -712,6 +723,11 @@ def size_fit(spark, sf):
     return costs.fit_size(l, (0.0, 0.25, 0.5, 0.75, 1.0)).select("stage", "g", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
+@query(f"SELECT run AS parallel, size_mb, MEDIAN(t_read) AS read_s, QUANTILE_CONT(t_read, 0.95) AS read_p95, COUNT(*) AS p FROM ({LOG}) l GROUP BY run, size_mb")
+def s3_sweep(spark, sf):
+    return costs.read_grid(log(spark, sf).withColumnRenamed("run", "parallel"))
+
+
 @query("SELECT event_type AS query, CAST(user_id % 2 AS BIGINT) AS sizing, 100.0 * SUM(event_id % 7) / SUM(event_id % 100) AS fpr_percent FROM events GROUP BY 1, 2".replace("100.0 * SUM(event_id % 7) / SUM(event_id % 100)", "ROUND(100 * CAST(SUM(event_id % 7) AS DOUBLE) / SUM(event_id % 100), 6)"))
 def fpr_grouped(spark, sf):
     e = scan(spark, path(sf, "events"), select=["event_type AS query", "CAST(user_id % 2 AS BIGINT) AS sizing", "event_id % 7 AS false_positives", "event_id % 100 AS negatives"])
@@ -820,6 +836,22 @@ def sql_transpile(spark, sf):
     return spark.sql(sqltext.transpile("create view v (st, n) as select o_orderstatus, count(*) from orders group by o_orderstatus;\nselect st as o_orderstatus, n from v order by n desc, st;\ndrop view v;\n:n 2"))
 
 
+# ---------------------------------------------------------------- tables by DDL, and streams
+
+
+@query("SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey")
+def external_table(spark, sf):
+    name = f"nation_{uuid.uuid4().hex[:8]}"
+    spark.sql(f"CREATE TEMPORARY VIEW {name} USING parquet OPTIONS (path '{path(sf, 'nation')}')")
+    return spark.table(name).groupBy("n_regionkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DATE_TRUNC('day', ts) AS start, event_type, COUNT(*) AS events, CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DECIMAL(38,4)) AS value FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf):
+    out = scratch(spark)
+    return windows.run_once(spark, path(sf, "events"), f"{out}/windows", f"{out}/checkpoint").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 # ---------------------------------------------------------------- all of them
 
 for _q in tpch.QUERIES:
