@@ -10,6 +10,16 @@ GROUP = f"struct<id:int,num_rows:bigint,total_byte_size:bigint,columns:array<{CO
 FOOTER = f"full_path string, size_bytes long, num_rows long, num_row_groups int, num_columns int, row_groups array<{GROUP}>"
 
 
+def _opened(path: str):
+    """A file's bytes at random access by Arrow's own filesystems, which read no more than the footer."""
+    from urllib.parse import unquote
+
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{unquote(path.removeprefix('file:'))}")
+    return system.open_input_file(inner)
+
+
 def _footers(rows):
     import io
 
@@ -18,30 +28,35 @@ def _footers(rows):
 
     for batch in rows:
         out = []
-        for path, size, content in zip(batch["path"], batch["length"], batch["content"], strict=True):
-            meta = pq.ParquetFile(io.BytesIO(content)).metadata
-            groups = []
-            for g in range(meta.num_row_groups):
-                group = meta.row_group(g)
-                columns, stats = [], {}
-                for c in range(group.num_columns):
-                    chunk = group.column(c)
-                    columns.append({"path_in_schema": chunk.path_in_schema, "name": chunk.path_in_schema.split(".")[0], "compressed_size": chunk.total_compressed_size})
-                    s = chunk.statistics
-                    if s is not None and s.has_min_max:
-                        stats[chunk.path_in_schema] = {"min": str(s.min), "max": str(s.max), "nulls": s.null_count}
-                groups.append({"id": g, "num_rows": group.num_rows, "total_byte_size": group.total_byte_size, "columns": columns, "stats": stats})
-            out.append((path, size, meta.num_rows, meta.num_row_groups, meta.num_columns, groups))
+        contents = batch["content"] if "content" in batch else [None] * len(batch)
+        for path, size, content in zip(batch["path"], batch["length"], contents, strict=True):
+            with _opened(path) if content is None else io.BytesIO(content) as file:
+                meta = pq.ParquetFile(file).metadata
+                out.append((path, size, meta.num_rows, meta.num_row_groups, meta.num_columns, [_group(g, meta.row_group(g)) for g in range(meta.num_row_groups)]))
         yield pd.DataFrame(out, columns=["full_path", "size_bytes", "num_rows", "num_row_groups", "num_columns", "row_groups"])
 
 
+def _group(number: int, group) -> dict:
+    columns, stats = [], {}
+    for c in range(group.num_columns):
+        chunk = group.column(c)
+        columns.append({"path_in_schema": chunk.path_in_schema, "name": chunk.path_in_schema.split(".")[0], "compressed_size": chunk.total_compressed_size})
+        s = chunk.statistics
+        if s is not None and s.has_min_max:
+            stats[chunk.path_in_schema] = {"min": str(s.min), "max": str(s.max), "nulls": s.null_count}
+    return {"id": number, "num_rows": group.num_rows, "total_byte_size": group.total_byte_size, "columns": columns, "stats": stats}
+
+
 def footer_stats(spark: SparkSession, *paths: str, pattern: str = "*.parquet") -> DataFrame:
     """A row for each file: sizes, rows, and its row groups with column sizes, minima and maxima.
 
-    Files are listed and read by Spark, on the executors, so any store works and no file reaches the driver.
+    Spark lists the files and deals them to the executors, which read the footers alone. Only in a store that Arrow can't
+    open by its address does Spark read the whole files for it.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(list(paths))
-    return files.select("path", "length", "content").mapInPandas(_footers, FOOTER)
+    scheme = paths[0].split(":", 1)[0] if "://" in paths[0] else "file"
+    columns = ["path", "length"] if scheme in ("file", "s3", "gs", "hdfs", "abfs", "abfss") else ["path", "length", "content"]
+    return files.select(*columns).mapInPandas(_footers, FOOTER)
 
 
 def row_groups(footers: DataFrame) -> DataFrame:
@@ -81,14 +96,17 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def folder_summary(spark: SparkSession, path: str, delete: bool = False) -> dict[str, float]:
-    """files, bytes and average bytes below a folder of any store; then deletes it if asked to."""
+    """files, bytes and average bytes of data below a folder of any store; then deletes it if asked to."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(conf)
-    if not fs.exists(where):
-        return {"files": 0, "bytes": 0, "avg_bytes": 0.0}
-    found = fs.getContentSummary(where)
-    files, size = found.getFileCount(), found.getLength()
-    if delete:
-        fs.delete(where, True)
+    files = size = 0
+    if fs.exists(where):
+        found = fs.listFiles(where, True)
+        while found.hasNext():
+            f = found.next()
+            if f.getPath().getName()[0] not in "_.":  # marks of writers
+                files, size = files + 1, size + f.getLen()
+        if delete:
+            fs.delete(where, True)
     return {"files": files, "bytes": size, "avg_bytes": size / files if files else 0.0}
