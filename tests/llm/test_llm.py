@@ -87,13 +87,13 @@ def test_counts_and_ids_are_the_libraries():
     import sentencepiece
     from tokenizers import Tokenizer
 
-    pieces, ids = tokens.PieceCounts(entries.tokenizer("piece_bpe_32k.model"), 50), tokens.WordIds(entries.tokenizer("word_bpe_49k.json"), 50)
+    pieces, ids = tokens.Pieces(entries.tokenizer("piece_bpe_32k.model")), tokens.WordIds(entries.tokenizer("word_bpe_49k.json"), 50)
     sp, hf = sentencepiece.SentencePieceProcessor(model_file=entries.tokenizer("piece_bpe_32k.model")), Tokenizer.from_file(entries.tokenizer("word_bpe_49k.json"))
     rnd = random.Random(3)
-    alphabet = [*"aAé.É,;ſßİıΣσςǅñ́̇ \n\t 　'1２½_-<|>", "<|endoftext|>", "<|startoftext|>", "don't ", "  ", "▁", "ﬁ", "ͅ", "</s>"]
+    alphabet = [*"aAé.É,;ſßİıΣσςǅñ́̇ \n\t 　'1２½_-<|>", "<|endoftext|>", "<|startoftext|>", "don't ", "  ", "▁", "ﬁ", "ͅ", "</s>", "\n\n", " \n"]
     for _ in range(3000):
         x = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(14)))
-        assert pieces.totals([x])[0] == len(sp.encode(x)), repr(x)
+        assert sum(pieces.count(pieces.split(x))) == len(sp.encode(x)), repr(x)
         assert np.frombuffer(ids.encode([x])[0], "<u4").tolist() == hf.encode(x, add_special_tokens=False).ids, repr(x)
 
 
@@ -103,7 +103,8 @@ def test_token_counts(odd, none):
     path = entries.tokenizer("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     want = sorted((r[0], len((r[1] or "").encode()), len(sp.encode(r[1] or "")), len(sp.encode(r[1] or "")) > 100) for r in odd_rows())
-    assert sorted(tuple(r) for r in tokens.token_counts(odd, path, 100).collect()) == want
+    for held in (tokens.HELD, 40, 0):
+        assert sorted(tuple(r) for r in tokens.token_counts(odd, path, 100, held).collect()) == want
     assert tokens.token_counts(none, path).count() == 0
 
 

@@ -2,56 +2,54 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .base import id_text
+from .base import id_text, stash
 
-#: Entries of a worker's table of pre-tokens; at this size it is emptied, which costs time only.
+#: Entries of a worker's table while it gathers; at this size it is emptied, which costs time only.
 TABLE_ENTRIES = 400_000
+#: Pre-tokens that workers hold with their counts, the most frequent; all others are joined.
+HELD = 300_000
+#: Characters of a block of documents, for which a rarer pre-token is one row.
+BLOCK_CHARS = 8_000_000
 
 
-class PieceCounts:
-    """Counts of a SentencePiece model by pre-token.
+class Pieces:
+    """A SentencePiece model seen through pre-tokens.
 
-    No piece of these vocabularies has a space mark after another character, so no merge crosses the place before
-    a run of spaces: texts are cut there, each distinct pre-token is encoded once, and counts add up exactly. A model
-    whose vocabulary breaks this rule is refused.
+    Where no piece has a space mark or a line end after another character, no merge crosses the place before one: texts
+    are cut there, and the counts of their pre-tokens add up to the library's exactly. Other models are refused.
     """
 
     MARK = "▁"
 
-    def __init__(self, path: str, entries: int = TABLE_ENTRIES):
+    def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        if any(self.MARK in self.model.id_to_piece(i).lstrip(self.MARK) for i in range(self.model.get_piece_size())):
-            raise ValueError(f"{path}: pieces run across spaces")
-        self.entries, self.counts = entries, {}
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        if any(self.MARK in p.lstrip(self.MARK) or "\n" in p for p in pieces) or self.MARK not in pieces:
+            raise ValueError(f"{path}: pieces run across spaces or line ends")
 
     def split(self, text: str) -> list[str]:
-        """Pre-tokens, each without the one space mark before it."""
+        """Pre-tokens: what stands after a space mark, less one mark, or from a line end on."""
         if self.MARK in text:
             text = text.replace(self.MARK, " ")
         if "  " in text or text[:1] == " " or text[-1:] == " ":
-            return [x[1:] for x in re.findall(r" +[^ ]+| +$", " " + text)]
-        return text.split(" ") if text else []
-
-    def totals(self, texts: list[str]) -> list[int]:
-        """Joins each text's pre-tokens to the table of counts, after filling in those it lacks."""
-        parts = [self.split(x) for x in texts]
-        counts = self.counts
-        if len(counts) > self.entries:
-            counts.clear()
-        counts[""] = 1  # a space mark alone
-        new = list({w for p in parts for w in p if w not in counts})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            counts.update(zip(some, map(len, self.model.encode(some, num_threads=1)), strict=True))
-        return [sum(map(counts.__getitem__, p)) for p in parts]
+            return [x if x[0] == "\n" else x[1:] for x in re.findall(r"\n[^ \n]*| +[^ \n]*", " " + text)]
+        return text.replace("\n", " \n").split(" ") if text else []
+
+    def count(self, tokens: list[str]) -> list[int]:
+        """Pieces of each pre-token. The library puts a space mark before each text: alone it is a piece, and none of a line end's."""
+        found = self.model.encode(tokens, num_threads=1)
+        return [1 if not t else len(ids) - (t[0] == "\n") for t, ids in zip(tokens, found, strict=True)]
 
 
 _models: dict[tuple, object] = {}
@@ -76,25 +74,132 @@ def slices(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
-def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
+def distinct_tokens(docs: DataFrame, model_path: str) -> DataFrame:
+    """token, c (its frequency), n (its pieces): each distinct pre-token of the corpus, counted by the model once."""
+
+    def gather(batches):
+        model, found = _once(Pieces, model_path), Counter()
+
+        def out():
+            made = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["token", "c"])
+            found.clear()
+            return made
+
+        for batch in batches:
+            for text in batch.column("text"):
+                found.update(model.split(text.as_py()))
+                if len(found) > TABLE_ENTRIES:
+                    yield out()
+        yield out()
+
+    def count(batches):
+        model = _once(Pieces, model_path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("c"), pa.array(model.count(batch.column("token").to_pylist()), pa.int64())], names=["token", "c", "n"])
+
+    each = docs.select("text").mapInArrow(gather, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return each.mapInArrow(count, "token string, c long, n long")
+
+
+def most_frequent(counts: DataFrame, most: int) -> int | None:
+    """The least c of at most ``most`` most frequent rows, from a histogram of at most 256 rows; None if even the first step
+    of a quarter of a power of two holds more."""
+    steps = counts.groupBy(F.floor(4 * F.log2("c")).alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
+    least = None
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        most -= r["n"]
+        if most < 0:
+            break
+        least = r["least"]
+    return least
+
+
+PARTS = "block long, i int, doc_id long, n_bytes long, n_tokens long, token string, docs array<int>"
+
+
+def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, held: int = HELD) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit for each row of ``docs``.
 
-    Pieces are counted once for each distinct pre-token of a worker's table; a document's pre-token frequencies are
-    joined to that table and summed, so no document's ids are ever materialised and nothing is shuffled.
+    Pieces are counted once for each distinct pre-token of the corpus, and that table is joined to the documents'
+    pre-token frequencies; no document's ids are ever materialised. Workers hold the ``held`` most frequent
+    pre-tokens and sum those at once. Others are joined to the table as one row for a pre-token and a block of documents,
+    with the documents it stands in as often as it does, so no pre-token has more rows than there are blocks.
     Null and empty texts count 0. Repeated rows and ids give a row each; an empty table gives none.
     """
+    d = id_text(docs)
+    counts = stash(distinct_tokens(d, model_path))
+    least = most_frequent(counts, held)
+    top = counts.where(F.col("c") >= (least if least is not None else 2**62)).select("token", "n").toArrow().to_pydict()
+    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(top["token"], top["n"], strict=True)))
+
+    def traverse(batches):
+        from pyspark import TaskContext
+
+        model, known = _once(Pieces, model_path), shared.value
+        block = TaskContext.get().partitionId() << 32
+        names = [x.split()[0] for x in PARTS.split(", ")]
+        rows: list[tuple] = []
+        rare: dict[str, list[int]] = {}
+        size = 0
+
+        def close():
+            nonlocal block, rows, rare, size
+            n, m = len(rows), len(rare)
+            offsets = [0, *itertools.accumulate(map(len, rare.values()))]
+            docs_ = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(list(itertools.chain.from_iterable(rare.values())), pa.int32()))
+            own = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            out = [pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), *own, pa.nulls(n, pa.string()), pa.nulls(n, docs_.type)], names=names),
+                   pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), *(pa.nulls(m, c.type) for c in own), pa.array(list(rare), pa.string()), docs_], names=names)]
+            block, rows, rare, size = block + 1, [], {}, 0
+            return out
 
-    def count(batches):
-        model = _once(PieceCounts, model_path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n = [t for a, b in slices(texts) for t in model.totals(texts[a:b])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
-
-    return id_text(docs).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                text = text.as_py()
+                i, total = len(rows), 0
+                for t in model.split(text):
+                    n = known.get(t)
+                    if n is None:
+                        rare.setdefault(t, []).append(i)
+                    else:
+                        total += n
+                rows.append((i, doc, len(text.encode()), total))
+                size += len(text)
+                if size > BLOCK_CHARS:
+                    yield from close()
+        yield from close()
+
+    parts = stash(d.mapInArrow(traverse, PARTS))
+    others = counts.where(F.col("c") < least) if least is not None else counts
+    met = parts.where("token is not null").select("block", "token", "docs").join(others.select("token", "n"), "token")
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (("i", "int"), ("doc_id", "long"), ("n_bytes", "long"), ("n_tokens", "long"))]
+    met = met.select("block", *blank, "docs", "n")
+    rows = parts.where("token is null").select("block", "i", "doc_id", "n_bytes", "n_tokens", "docs", F.lit(0).cast("long").alias("n"))
+
+    def add(batches):
+        import numpy as np
+
+        blocks: dict[int, list] = {}
+        for batch in batches:
+            block, is_token = batch.column("block").to_numpy(), batch.column("docs").is_valid().to_numpy(zero_copy_only=False)
+            for b in np.unique(block):
+                own = blocks.setdefault(int(b), [[], np.zeros(0, np.int64)])
+                if len(at := np.flatnonzero((block == b) & ~is_token)):
+                    own[0].append(batch.take(pa.array(at)))
+                if len(at := np.flatnonzero((block == b) & is_token)):
+                    some = batch.take(pa.array(at))
+                    at = some.column("docs").flatten().to_numpy()
+                    n = np.repeat(some.column("n").to_numpy(), np.diff(some.column("docs").offsets.to_numpy()))
+                    sums = np.bincount(at, weights=n, minlength=len(own[1])).astype(np.int64)
+                    sums[: len(own[1])] += own[1]
+                    own[1] = sums
+        for found, sums in blocks.values():
+            for x in found:
+                i = x.column("i").to_numpy()
+                n = x.column("n_tokens").to_numpy() + np.concatenate([sums, np.zeros(max(0, int(i.max()) + 1 - len(sums)), np.int64)])[i]
+                yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("n_bytes"), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    return rows.unionByName(met).repartition("block").mapInArrow(add, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 class WordIds:
