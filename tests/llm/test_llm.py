@@ -518,6 +518,21 @@ def test_long_repetitive_text(spark):
     assert d["n_repeat_words"] == len({p for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)})
 
 
+# ---------------------------------------------------------------- rows without ids
+
+
+def test_null_ids(spark):
+    a, b = " ".join(words(80, 21)), " ".join(words(80, 22))
+    df = spark.createDataFrame([(None, a, "s"), (None, a, "s"), (None, b, None), (3, b, None), (4, None, "s")], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(None, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    path = entries.tokenizer("word_bpe_49k.json")
+    for out in (tokens.token_counts(df, entries.tokenizer("piece_bpe_32k.model")), toxicity.toxicity(df, labels), neardup.near_duplicates(df), mixing.mix(df), lm.score_documents(df), linededup.dedup_lines(df), quality.quality_rules(df), packing.pack_documents(df, path)):
+        assert out.count() == 5
+    assert Counter((r["doc_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()) == {(None, True): 2, (None, False): 1, (3, True): 1, (4, True): 1}
+    assert {r["text"] for r in neardup.drop_near_duplicates(df).collect()} == {a, b, None}
+    assert quality.quality_filter(df).count() == 4 and mixing.mix_rows(df).where("doc_id is null").count() > 0
+
+
 # ---------------------------------------------------------------- pipeline
 
 

@@ -140,5 +140,5 @@ def mix_rows(docs: DataFrame, block: int = 64, seed: int = 7) -> DataFrame:
         F.sum(F.col("full") + F.when(F.col("part") > F.col("at"), 1).otherwise(0)).alias("_times")).where("_times > 0")
     one = whole_rows(docs).withColumns({"_i": F.col("row.doc_id"), "_x": F.xxhash64("row.text"), "_s": F.col("row.source")}).dropDuplicates(["_i", "_x", "_s"])
     times = times.join(plan.select(F.col("number").alias("_p"), F.col("source").alias("_source")), F.col("_m") == F.col("_p"))
-    out = one.join(times, (F.col("_i") == F.col("_d")) & (F.col("_x") == F.col("_h")) & F.col("_s").eqNullSafe(F.col("_source")))
+    out = one.join(times, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")) & F.col("_s").eqNullSafe(F.col("_source")))
     return out.withColumn("_k", F.explode(F.expr("sequence(1L, _times)"))).select("row.*")

@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     verified in blocks: a cluster larger than a block is split, and every pair of its blocks is a task of its own, so no
     link is lost and no task holds more than two blocks. Pairs are never rows, only links that connect something are.
     Null and empty texts and those without words are linked with nothing and kept; repeated rows share their doc_id's
-    component; an empty table gives no rows.
+    component; a row without doc_id stands for no class, and is kept if its text has no other; an empty table gives no rows.
     """
     d = stash(sketch(docs))
     classes = d.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"))
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = d.join(named.drop("n"), (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")), "left").join(found, F.col("node") == F.col("_node"), "left")
     component = F.coalesce("component", "node", "doc_id")
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def cluster_links(texts: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -233,5 +233,5 @@ def cluster_links(texts: DataFrame, clusters: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group, with all its columns; repeated rows of it count as copies."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    one = whole_rows(docs).withColumn("_doc", F.col("row.doc_id")).dropDuplicates(["_doc"])
-    return one.join(kept, F.col("_doc") == F.col("_id"), "left_semi").select("row.*")
+    one = whole_rows(docs).withColumns({"_doc": F.col("row.doc_id"), "_text": F.xxhash64("row.text")}).dropDuplicates(["_doc", "_text"])
+    return one.join(kept, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("row.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,15 +67,20 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Martello and Toth's L2: the total, plus the room that no small piece can use beside the large ones."""
-    total = sum(l * n for l, n in counts.items())
-    best = -(-total // capacity)
-    for k in sorted(x for x in counts if x <= capacity // 2):
-        big = sum(n for l, n in counts.items() if l > capacity - k)
-        mid = sum(n for l, n in counts.items() if capacity - k >= l > capacity / 2)
-        mid_sum = sum(l * n for l, n in counts.items() if capacity - k >= l > capacity / 2)
-        small = sum(l * n for l, n in counts.items() if capacity / 2 >= l >= k)
-        best = max(best, big + mid + max(0, -(-(small - (mid * capacity - mid_sum)) // capacity)))
-    return best
+    import numpy as np
+
+    pieces = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        pieces[length] = n
+    number, size = np.cumsum(pieces), np.cumsum(pieces * np.arange(capacity + 1))
+    half = capacity // 2
+    k = np.arange(1, half + 1)
+    big = number[-1] - number[capacity - k]
+    mid, mid_size = number[capacity - k] - number[half], size[capacity - k] - size[half]
+    small = size[half] - size[k - 1]
+    rest = small - (mid * capacity - mid_size)
+    found = big + mid + np.maximum(0, -(-rest // capacity))
+    return int(max(-(-size[-1] // capacity), found.max(initial=0)))
 
 
 def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int) -> Iterator[tuple[int, ...]]:
@@ -100,16 +106,77 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int) -
     yield from found[:most]
 
 
+def fullest(pieces, room: int, tries: int = 64) -> list[int]:
+    """A filling of a room from a histogram: one piece, two or three that fill it exactly, with the largest first, else
+    the largest piece that fits and a filling of what is left."""
+    import numpy as np
+
+    def two(room: int, pieces) -> list[int] | None:
+        a = np.flatnonzero(pieces[: room + 1])
+        a = a[2 * a >= room]
+        b = room - a
+        fits = a[((b == 0) | (pieces[b] > 0)) & ((a != b) | (pieces[a] > 1))]
+        return [int(x) for x in (fits[-1], room - fits[-1]) if x] if len(fits) else None
+
+    if room <= 0:
+        return []
+    if found := two(room, pieces):
+        return found
+    small = np.flatnonzero(pieces[: room + 1])[::-1]
+    for x in small[:tries].tolist():
+        pieces[x] -= 1
+        found = two(room - x, pieces) if room > x else []
+        pieces[x] += 1
+        if found is not None and max(found, default=0) <= x:
+            return [x, *found]
+    if not len(small):
+        return []
+    x = int(small[0])
+    pieces[x] -= 1
+    found = [x, *fullest(pieces, room - x, tries)]
+    pieces[x] += 1
+    return found
+
+
+def first_descent(counts: dict[int, int], capacity: int) -> list[Pattern]:
+    """The first leaf of bin completion: around the largest piece left goes the fullest filling, in as many equal sequences
+    as the counts allow, so each step uses a length up or nearly so."""
+    import numpy as np
+
+    pieces = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        pieces[length] = n
+    out = []
+    top = capacity
+    while True:
+        while top and not pieces[top]:
+            top -= 1
+        if not top:
+            return out
+        pieces[top] -= 1
+        filling = fullest(pieces, capacity - top)
+        pieces[top] += 1
+        slots = sorted(Counter([top, *filling]).items(), reverse=True)
+        bins = min(int(pieces[l]) // n for l, n in slots)
+        for l, n in slots:
+            pieces[l] -= bins * n
+        out.append(Pattern(bins, tuple(slots)))
+
+
 def complete_bins(counts: dict[int, int], capacity: int, most_nodes: int = 20_000, most_pieces: int = 600) -> list[Pattern]:
     """Bin completion (Korf): branch and bound over the fillings around the largest piece left.
 
-    The incumbent is the best-fit solution; a branch is cut when its waste so far makes the incumbent's number of
-    sequences unreachable, and the search ends as soon as the lower bound is met. Beyond ``most_nodes`` branches,
-    or for more than ``most_pieces`` pieces where the bound isn't met, the incumbent stands.
+    The incumbent is the best-fit solution, or the search's first descent where that is better; a branch is cut when its
+    waste so far makes the incumbent's number of sequences unreachable, and the search ends as soon as the lower
+    bound is met. Beyond ``most_nodes`` branches, or for more than ``most_pieces`` pieces, the incumbent stands.
     """
     counts = {l: n for l, n in counts.items() if n}
     best = best_fit(counts, capacity)
     size, least = sum(p.bins for p in best), lower_bound(counts, capacity)
+    if size > least:
+        other = first_descent(counts, capacity)
+        if sum(p.bins for p in other) < size:
+            best, size = other, sum(p.bins for p in other)
     if size <= least or sum(counts.values()) > most_pieces:
         return best
     total = sum(l * n for l, n in counts.items())
@@ -230,4 +297,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -
     return pack(stash(token_pieces(docs, tokenizer_path, capacity)), capacity)
 
 
-__all__ = ["Pattern", "best_fit", "complete_bins", "drop", "lower_bound", "pack", "pack_documents", "places", "token_pieces"]
+__all__ = ["Pattern", "best_fit", "complete_bins", "drop", "first_descent", "lower_bound", "pack", "pack_documents", "places", "token_pieces"]

@@ -67,12 +67,13 @@ def quality_rules(docs: DataFrame, host: str = "source", line_limit: int = 20, d
     each = rows.groupBy("_host", "h", "_text").agg(F.min("doc_id").alias("first"))
     many = each.groupBy("_host", "h").agg(F.count("*").alias("texts"), F.min("first").alias("first")).where(F.col("texts") > line_limit).drop("texts")
     mine = rows.groupBy("doc_id", "_host", "_text", "h").agg(F.max("n").alias("n"), F.count("*").alias("times"))
-    removed = mine.join(many, ["_host", "h"]).where(F.col("doc_id") != F.col("first"))
+    removed = mine.join(many, ["_host", "h"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     # rows that repeat hold their lines once each, so the words found in removed lines are divided among them
     same = d.groupBy("doc_id", F.xxhash64("_host", F.col("_host").isNull()).alias("_host"), "_text").agg(F.count("*").alias("rows")).where("rows > 1")
     removed = removed.groupBy("doc_id", "_host", "_text").agg(F.sum(F.col("n") * F.col("times")).alias("words"))
-    removed = removed.join(same, ["doc_id", "_host", "_text"], "left").select(F.col("doc_id").alias("_i"), F.col("_host").alias("_j"), F.col("_text").alias("_k"), (F.col("words") / F.coalesce("rows", F.lit(1))).cast("long").alias("words"))
-    key = (F.col("doc_id") == F.col("_i")) & (F.xxhash64("_host", F.col("_host").isNull()) == F.col("_j")) & (F.col("_text") == F.col("_k"))
+    same = same.select(F.col("doc_id").alias("_d"), F.col("_host").alias("_o"), F.col("_text").alias("_x"), "rows")
+    removed = removed.join(same, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_host") == F.col("_o")) & (F.col("_text") == F.col("_x")), "left").select(F.col("doc_id").alias("_i"), F.col("_host").alias("_j"), F.col("_text").alias("_k"), (F.col("words") / F.coalesce("rows", F.lit(1))).cast("long").alias("words"))
+    key = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("_host", F.col("_host").isNull()) == F.col("_j")) & (F.col("_text") == F.col("_k"))
     d = d.drop("_lines").join(removed, key, "left").withColumn("n_removed_words", F.coalesce("words", F.lit(0)).cast("long"))
     kept = ~F.col("base_failed") & (100 * F.col("n_removed_words") <= depleted_percent * F.col("n_words"))
     return d.select("doc_id", *COUNTS, kept.alias("kept"), "n_removed_words", "_text")
@@ -107,4 +108,4 @@ from c
 def quality_filter(docs: DataFrame, **settings) -> DataFrame:
     """The rows that ``quality_rules`` keeps, with all their columns."""
     judged = quality_rules(docs, **settings).where("kept").select(F.col("doc_id").alias("_i"), F.col("_text").alias("_k")).distinct()
-    return whole_rows(docs).join(judged, (F.col("row.doc_id") == F.col("_i")) & (F.xxhash64("row.text") == F.col("_k")), "left_semi").select("row.*")
+    return whole_rows(docs).join(judged, F.col("row.doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64("row.text") == F.col("_k")), "left_semi").select("row.*")
