@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from .base import drop, stash
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links every larger neighbour of a node to the least of the node and its neighbours.
 
-    The minimum combines before it shuffles and the join splits hubs, so a node with a third of all links is no one task.
+    The minimum combines before it shuffles. It is stashed, so that both sides of the join are plain exchanges, whose skewed
+    partitions adaptive execution splits: a node with a third of all links is no one task.
     """
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m")))
+    return both.where("v > u").join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), least
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -36,8 +37,10 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     mark, old = None, None
     for _ in range(rounds):
         seen = Observation()
-        after = stash(_small_star(_large_star(now)).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("sum")))
+        stars, least = _large_star(now)
+        after = stash(_small_star(stars).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("sum")))
         found = seen.get
+        drop(least)
         if old is not None:
             drop(old)
         now = old = after
