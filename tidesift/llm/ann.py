@@ -64,8 +64,9 @@ def encode(x, c, beam: int = BEAM):
         for m in range(books):
             at = slice(m * words, (m + 1) * words)
             step = error[:, :, None] + (norm[at] - 2 * dots[:, at])[:, None, :]
+            own = 2 * gram[:, at]
             for j in range(m):
-                step += 2 * gram[codes[:, :, j] + j * words][:, :, at]
+                step += own[codes[:, :, j] + j * words]
             width = min(beam, step.shape[1] * words)
             step = step.reshape(n, -1)
             best = np.argpartition(step, width - 1, axis=1)[:, :width]
