@@ -15,6 +15,8 @@ from .base import id_text, stash
 
 #: Entries of a worker's table while it gathers; at this size it is emptied, which costs time only.
 TABLE_ENTRIES = 400_000
+#: Chunks and words whose ids a worker keeps, at some 250 bytes each: encoding one again costs more than looking it up.
+CHUNK_ENTRIES, WORD_ENTRIES = 800_000, 1_200_000
 #: Pre-tokens that workers hold with their counts, the most frequent; all others are joined.
 HELD = 300_000
 #: Characters of a block of documents, for which a rarer pre-token is one row.
@@ -210,7 +212,7 @@ class WordIds:
     together, parted by a special token that stands for no text.
     """
 
-    def __init__(self, path: str, entries: int = TABLE_ENTRIES):
+    def __init__(self, path: str, entries: int = CHUNK_ENTRIES, words: int = WORD_ENTRIES):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -222,17 +224,17 @@ class WordIds:
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.mark = self.added[0]
         self.mark_id = self.model.token_to_id(self.mark)
-        self.entries, self.ids, self.words = entries, {}, {}
+        self.entries, self.most_words, self.ids, self.words = entries, words, {}, {}
 
     def stem(self, chunk: str) -> tuple[str, str] | None:
         """A word in lower case and the marks after it, where the tokenizer's splitting surely parts the two."""
         word = chunk.rstrip(".,;:!?")
-        if word.isalpha() and all(ord(c) < 0x250 and c != "\u0130" for c in ([] if word.isascii() else word)):
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
             return word.lower(), chunk[len(word) :]
         return None
 
     def learn(self, chunks: list[str]) -> None:
-        if len(self.words) > self.entries:
+        if len(self.words) > self.most_words:
             self.words.clear()
         parts = [self.stem(c) or (c, "") for c in chunks]
         words = self.words
