@@ -14,7 +14,7 @@ import pytest
 from conftest import plain, rows
 
 import corpus_pipeline
-from tidesift.llm import ann, base, entries, graph, htmltext, linededup, lm, mixing, neardup, packing, quality, tokens, toxicity
+from tidesift.llm import ann, base, entries, graph, htmltext, linededup, lm, mixing, neardup, ngrams, packing, quality, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, _t string, words long, node long, key long, size long"
@@ -446,6 +446,54 @@ def test_scores_of_odd_rows(odd, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_scores_by_all_ngrams(spark, odd, none, documents, tmp_path, monkeypatch):
+    # a phrase of words beyond any list of frequent ones, in every tenth document
+    texts = [(i, f"{t} zyx{i % 7} quux corge" if i % 10 == 0 else t) for i, t, _ in documents] + [(20_001, None), (20_002, "zzzz unheard"), (20_003, "zyx0 quux corge")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    toks = {i: [w.decode() for w in lm.words(t or "")] for i, t in texts}
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in toks}
+    c, pairs, triples = Counter(), Counter(), Counter()
+    for i, t in toks.items():
+        if not out[i]:
+            s = ["<s>", *t]
+            c.update(t)
+            pairs.update(zip(s, s[1:], strict=False))
+            triples.update(zip(s, s[1:], s[2:], strict=False))
+    n, v, once, twice = sum(c.values()), len(c), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+    d = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+    total, kinds = Counter(), Counter()
+    for k, x in [*pairs.items(), *triples.items()]:
+        total[k[:-1]] += x
+        kinds[k[:-1]] += 1
+
+    def after(h, w):
+        if not h:
+            return (c[w] - d if c[w] else d * v) / n
+        if h not in total:
+            return after(h[1:], w)
+        x = (triples if len(h) == 2 else pairs)[*h, w]
+        return (max(x - 0.75, 0) + 0.75 * kinds[h] * after(h[1:], w)) / total[h]
+
+    want = {i: sum(math.log10(after(tuple(["<s>", *t][max(0, k - 1) : k + 1]), w)) for k, w in enumerate(t)) for i, t in toks.items()}
+    for small in (False, True):
+        if small:
+            monkeypatch.setattr(ngrams, "BLOCK_CHARS", 40_000)
+            monkeypatch.setattr(ngrams, "BUCKET_CHARS", 50_000)
+            monkeypatch.setattr(ngrams, "SPREAD", 300)
+            monkeypatch.setattr(ngrams, "MANY", 5)
+        found = {r["doc_id"]: r for r in entries.op7_lm_scoring(spark, str(tmp_path)).collect()}
+        assert set(found) == set(toks)
+        for i, t in toks.items():
+            r = found[i]
+            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(t), sum(c[w] > 0 for w in t), n)
+            assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
+            assert r["score"] == pytest.approx(want[i])
+    assert len(ngrams.score_documents(odd).collect()) == len(odd_rows()) and ngrams.score_documents(none).count() == 0
+    nothing = ngrams.score_documents(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")).collect()
+    assert [(r["score"], r["n_known"]) for r in nothing] == [(0, 0)] * 2
+
+
 # ---------------------------------------------------------------- 9: lines
 
 

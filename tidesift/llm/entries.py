@@ -24,7 +24,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lm import score_documents
+    from .ngrams import score_documents
 
     return score_documents(read(spark, sf_dir, "documents"))
 

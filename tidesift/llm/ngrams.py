@@ -1,0 +1,305 @@
+"""Language-model scoring with every pair and triple of the training tokens: their counts are tables, dealt to tasks.
+
+Documents are cut into blocks. A block asks for each of its distinct grams once, in one row for a bucket of contexts;
+a bucket adds up what the blocks count and answers each of them, so a block gets just the arcs it needs.
+"""
+
+from __future__ import annotations
+
+import itertools
+import pickle
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .base import id_text, stash
+from .lm import END, HELD, Totals, words
+
+#: Characters of a block of documents, and those of all blocks for which there is a bucket of each order.
+BLOCK_CHARS, BUCKET_CHARS = 8_000_000, 6_000_000
+#: Grams that a context may have in one bucket, over all blocks; those estimated to have more are spread over all.
+#: Only contexts of more than MANY grams in a block are looked at for that.
+SPREAD, MANY = 200_000, 200
+DISCOUNT = 0.75
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > HELD:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def _mix(a, b):
+    import numpy as np
+
+    z = a * np.uint64(0x9E3779B97F4A7C15) + b
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return z ^ (z >> np.uint64(32))
+
+
+def _pack(*columns) -> bytes:
+    """Columns of unsigned integers below 2**64, byte by byte and compressed."""
+    import numpy as np
+
+    raw = b"".join(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int, columns: int):
+    import numpy as np
+
+    raw = np.frombuffer(pa.decompress(data, 8 * n * columns, codec="zstd", asbytes=True), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(x.T).view("<u8").ravel() for x in raw]
+
+
+def _block(data: bytes, size: int, hashes: _Hashes):
+    """ids, held_out, tokens of each document, and for each order the context and the next token of each place; a
+    document's first place has no triple."""
+    import numpy as np
+
+    ids, out, texts = pickle.loads(pa.decompress(data, size, codec="zstd", asbytes=True))
+    each = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in map(words, texts)]
+    n = np.array([len(w) for w in each], np.int64)
+    w, first = np.concatenate(each), np.cumsum(n) - n
+    v, u = np.roll(w, 1), np.zeros_like(w)
+    v[first] = _mix(np.uint64(1), np.array([2], np.uint64))[0]  # the start's
+    u[1:] = v[:-1]
+    inner = np.ones(len(w), bool)
+    inner[first] = False
+    return ids, out, n, [(w, np.zeros_like(w)), (v, w), (_mix(u, v)[inner], w[inner])], inner
+
+
+def _distinct(ctx, nxt, hot, bits: int):
+    """Distinct (context, next), in order of bucket: their arrays, buckets, the first place of each and each place's gram.
+
+    Places are sorted by a code of both; should codes of unequal grams meet, a gram may stand twice, which the buckets
+    take. The sort is stable, so that every worker finds the same order.
+    """
+    import numpy as np
+
+    low = np.uint64(0xFFFFFF)
+    order = np.argsort((ctx & ~low) | (nxt & low), kind="stable")
+    c, w = ctx[order], nxt[order]
+    new = np.ones(len(c), bool)
+    new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+    gram = np.empty(len(c), np.int64)
+    gram[order] = np.cumsum(new) - 1
+    c, w = c[new], w[new]
+    bucket = np.where(_hot(c, hot)[0], _mix(c, w), c) >> np.uint64(64 - bits)
+    by = np.argsort(bucket, kind="stable")
+    at = np.empty(len(c), np.int64)
+    at[by] = np.arange(len(c))
+    return c[by], w[by], bucket[by].astype(np.int64), at[gram]
+
+
+def _hot(ctx, hot):
+    """Whether contexts are in the sorted array, and where."""
+    import numpy as np
+
+    if not len(hot):
+        return np.zeros(len(ctx), bool), np.zeros(len(ctx), np.int64)
+    k = np.minimum(np.searchsorted(hot, ctx), len(hot) - 1)
+    return hot[k] == ctx, k
+
+
+def _groups(batches, *keys: str):
+    """Runs of rows, which are sorted by the keys, as lists of dicts."""
+    rows = (r for b in batches for r in b.to_pylist())
+    for _, run in itertools.groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
+        yield list(run)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    names = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names])
+
+
+BLOCKS = "block long, chars long, size long, data binary, ctx long, grams long"
+ASKED = "block long, bucket long, order int, n long, data binary"
+ANSWERS = ASKED + ", ctx long, kinds long, total long, tokens long, words long, once long, twice long, docs long"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _blocks(block_chars: int, many: int):
+    """Blocks of documents; of each task's first one also its contexts of many grams, from which SPREAD is judged."""
+
+    def each(batches):
+        import numpy as np
+        from pyspark import TaskContext
+
+        block, rows, chars = TaskContext.get().partitionId() << 32, [], 0
+
+        def close():
+            raw = pickle.dumps(tuple(map(list, zip(*rows, strict=True))))
+            data = pa.compress(raw, codec="zstd", asbytes=True)
+            out = [(block, chars, len(raw), data, None, None)]
+            if not block & 0xFFFFFFFF:
+                for ctx, nxt in _block(data, len(raw), _Hashes())[3][1:]:
+                    c = _distinct(ctx, nxt, np.zeros(0, np.uint64), 1)[0]
+                    c, n = np.unique(c, return_counts=True)
+                    out += [(block, None, None, None, int(x), int(k)) for x, k in zip(c[n > many].view(np.int64), n[n > many], strict=True)]
+            return _batch(out, BLOCKS)
+
+        for batch in batches:
+            for row in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                rows.append(row)
+                chars += len(row[2])
+                if chars > block_chars:
+                    yield close()
+                    block, rows, chars = block + 1, [], 0
+        if rows:
+            yield close()
+
+    return each
+
+
+def _ask(hot, bits: int):
+    """What a block asks of each bucket: its distinct grams, with how often its training documents hold them."""
+
+    def each(batches):
+        import numpy as np
+
+        hashes = _Hashes()
+        for batch in batches:
+            for r in batch.to_pylist():
+                _, out, n, orders, inner = _block(r["data"], r["size"], hashes)
+                train = np.repeat(np.array([x is False for x in out]), n)
+                for order, (ctx, nxt) in enumerate(orders, 1):
+                    c, w, bucket, gram = _distinct(ctx, nxt, hot.value, bits)
+                    count = np.bincount(gram, weights=train[inner] if order == 3 else train, minlength=len(c)).astype(np.uint64)
+                    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(c)]
+                    step = lambda a: np.diff(a, prepend=np.uint64(0))
+                    rows = [(r["block"], int(bucket[a]), order, b - a, _pack(step(c[a:b]), w[a:b], count[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+                    for s in range(0, len(rows), 1000):
+                        yield _batch(rows[s : s + 1000], ASKED)
+
+    return each
+
+
+def _answer(hot):
+    """A bucket's counts for each block that asks: of the gram, of its context and of the context's distinct next tokens.
+
+    What a spread context has in a bucket, and a bucket's part of the totals, are rows of their own.
+    """
+
+    def each(batches):
+        import numpy as np
+
+        none = (0,) * 5
+        end = np.uint64(_Hashes()[END])
+        for run in _groups(batches, "bucket", "order"):
+            order = run[0]["order"]
+            parts = [_unpack(r["data"], r["n"], 3) for r in run]
+            ctx, nxt, count = (np.concatenate(x) for x in zip(*((np.cumsum(c, dtype=np.uint64), w, k) for c, w, k in parts), strict=True))
+            del parts
+            by = np.lexsort((nxt, ctx))
+            c, w, count = ctx[by], nxt[by], count[by].astype(np.int64)
+            head = np.ones(len(c), bool)
+            head[1:] = c[1:] != c[:-1]
+            new = head.copy()
+            new[1:] |= w[1:] != w[:-1]
+            sums = np.add.reduceat(count, np.flatnonzero(new))
+            gram, of = np.cumsum(new) - 1, np.cumsum(head[new]) - 1
+            start = np.flatnonzero(head[new])
+            total, kinds = np.add.reduceat(sums, start), np.add.reduceat((sums > 0).astype(np.int64), start)
+            found = [np.empty(len(c), np.int64) for _ in range(3)]
+            for x, values in zip(found, (sums[gram], total[of][gram], kinds[of][gram]), strict=True):
+                x[by] = values if order > 1 or x is found[0] else 0
+            rows, a = [], 0
+            for r in run:
+                b = a + r["n"]
+                rows.append((r["block"], r["bucket"], order, r["n"], _pack(*(x[a:b] for x in found)), None, 0, 0, *none))
+                a = b
+                if len(rows) == 1000:
+                    yield _batch(rows, ANSWERS)
+                    rows = []
+            if order == 1:
+                rows.append((None, None, 1, 0, None, None, 0, 0, int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum()), int(total[c[head] == end].sum())))
+            else:
+                heads = c[head]
+                spread = _hot(heads, hot.value)[0]
+                rows += [(None, None, order, 0, None, int(x), int(k), int(t), *none) for x, k, t in zip(heads[spread].view(np.int64), kinds[spread], total[spread], strict=True)]
+            yield _batch(rows, ANSWERS)
+
+    return each
+
+
+def _score(totals: Totals, hot, hot_counts, bits: int):
+    def each(batches):
+        import numpy as np
+
+        hashes = _Hashes()
+        for run in _groups(batches, "block"):
+            own = next(r for r in run if r["order"] is None)
+            ids, out, n, orders, inner = _block(own["data"], own["size"], hashes)
+            first = np.cumsum(n) - n
+            p = None
+            for order, (ctx, nxt) in enumerate(orders, 1):
+                c, _, _, gram = _distinct(ctx, nxt, hot.value, bits)
+                got = [_unpack(r["data"], r["n"], 3) for r in sorted((r for r in run if r["order"] == order), key=lambda r: r["bucket"])]
+                count, total, kinds = (np.concatenate(x).astype(np.int64) for x in zip(*got, strict=True)) if got else [np.zeros(0, np.int64)] * 3
+                if len(count) != len(c):
+                    raise RuntimeError(f"block {own['block']}: {len(count)} answers for {len(c)} grams of order {order}")
+                if order == 1:
+                    kind, which = np.unique(count, return_inverse=True)
+                    known = np.add.reduceat((count > 0)[gram].astype(np.int64), first)
+                    base = np.add.reduceat(np.array([totals.base(int(x)) for x in kind])[which][gram], first)
+                    p = (10 ** np.array([totals.unigram(int(x)) for x in kind]))[which][gram]
+                    continue
+                is_hot, k = _hot(c, hot.value)
+                if is_hot.any():
+                    total, kinds = (np.where(is_hot, x[k], y) for x, y in zip(hot_counts.value[order], (total, kinds), strict=True))
+                seen = np.maximum(total, 1)
+                more, keep = np.maximum(count - DISCOUNT, 0) / seen, np.where(total > 0, DISCOUNT * kinds / seen, 1.0)
+                if order == 2:
+                    p = more[gram] + keep[gram] * p
+                else:
+                    p[inner] = more[gram] + keep[gram] * p[inner]
+            score = np.add.reduceat(np.log10(p), first) if totals.tokens else np.zeros(len(n))
+            yield _batch([(i, o, int(a), int(b), totals.tokens, float(x), float(y)) for i, o, a, b, x, y in zip(ids, out, n, known, base, score, strict=True)], SCORES)
+
+    return each
+
+
+def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1) -> DataFrame:
+    """The columns of ``lm.score_documents``, by the pairs and triples of all training tokens, whatever their number.
+
+    Interpolated absolute discounting from triples to pairs to single tokens; a context that training lacks is passed
+    over. Words and contexts are 64-bit hashes. No table of grams is held by any worker or the driver: a task
+    has one bucket's grams or one block's arcs. Contexts of very many grams are spread over the buckets.
+    Null and empty texts are the end token alone; without training rows every score is 0; an empty table gives no rows.
+    """
+    import numpy as np
+
+    spark = docs.sparkSession
+    d = id_text(docs).withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out_fold)
+    stashed = stash(d.mapInArrow(_blocks(BLOCK_CHARS, MANY), BLOCKS))
+    blocks = stashed.where("ctx is null").select("block", "size", "data")
+    number, chars = stashed.where("ctx is null").agg(F.count("*"), F.sum("chars")).first()
+    if not number:
+        return spark.createDataFrame([], SCORES)
+    bits = max(1, ((chars or 0) // BUCKET_CHARS).bit_length())
+    many = stashed.where("ctx is not null")
+    sampled = max(1, many.agg(F.count_distinct("block")).first()[0])
+    many = many.groupBy("ctx").agg(F.sum("grams").alias("n")).where(F.col("n") * (number / sampled) > SPREAD).collect()
+    keys = np.sort(np.array([r["ctx"] for r in many], np.int64).view(np.uint64))
+    hot = spark.sparkContext.broadcast(keys)
+    asked = blocks.mapInArrow(_ask(hot, bits), ASKED).repartition(2**bits, "bucket").sortWithinPartitions("bucket", "order", "block")
+    answers = stash(asked.mapInArrow(_answer(hot), ANSWERS))
+    t = answers.where("block is null").agg(*(F.sum(c).alias(c) for c in ("tokens", "words", "once", "twice", "docs"))).first()
+    totals = Totals(t["tokens"] or 0, t["words"] or 0, min(0.95, max(0.1, t["once"] / max(1, t["once"] + 2 * t["twice"]))), t["docs"] or 0)
+    counts = {k: [np.zeros(len(keys), np.int64) for _ in range(2)] for k in (2, 3)}
+    for r in answers.where("ctx is not null").groupBy("order", "ctx").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).collect():
+        at = np.searchsorted(keys, np.array([r["ctx"]], np.int64).view(np.uint64))[0]
+        counts[r["order"]][0][at], counts[r["order"]][1][at] = r["total"], r["kinds"]
+    own = blocks.select("block", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("int").alias("order"), "size", F.lit(None).cast("long").alias("n"), "data")
+    given = answers.where("block is not null").select("block", "bucket", "order", F.lit(None).cast("long").alias("size"), "n", "data")
+    met = own.unionByName(given).repartition(max(1, number), "block").sortWithinPartitions("block")
+    return met.mapInArrow(_score(totals, hot, spark.sparkContext.broadcast(counts), bits), SCORES)
