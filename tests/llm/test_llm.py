@@ -231,6 +231,19 @@ def test_nearest_exact_on_few_and_recall_on_many(spark):
     assert sum(len(got[q] & set(w)) for q, w in want.items()) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_nearest_in_a_hot_cluster_and_among_scaled_copies(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(4500, 32))
+    x[::3] = x[0] + 0.02 * rnd.normal(size=(1500, 32))
+    x[1::9] = x[1] * 2.0 ** rnd.integers(-3, 4, 500)[:, None] * (1 + (np.arange(500) % 250 == 7)[:, None] * 1e-3 * rnd.normal(size=(500, 32)))
+    ids = rnd.permutation(4500)
+    v = [(int(i), [float(y) for y in r]) for i, r in zip(ids, x, strict=True)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(4)).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert dict(got) == brute_nearest(v, 50, 5)
+
+
 def test_codes_come_near_their_vectors():
     x = np.random.default_rng(2).normal(size=(1500, 16))
     books = ann.train(x, books=6, words=16)

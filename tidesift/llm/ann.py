@@ -13,7 +13,7 @@ from .base import stash
 BOOKS, WORDS, BEAM = 16, 64, 4
 #: Vectors that the codebooks are trained on, at most: those with the least hashes of their ids.
 SAMPLE = 16_384
-#: Codes and queries that meet in one task, and the candidates of a query that a task reranks.
+#: Codes and queries that meet in one task, and the candidates of a query that a task reranks first.
 CODES, QUERIES, RERANK = 8192, 512, 256
 
 
@@ -90,7 +90,8 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5) -> DataFrame:
     going to the smaller id, so the index keeps those; the rest are in it by them. Codebooks come from at most SAMPLE
     vectors; every vector is encoded. Blocks of codes meet blocks of queries in tasks of bounded size; each scores
     all its codes by lookup tables and stored norms, reranks the best RERANK on the original vectors in double
-    precision, and passes on k. With fewer candidates than that, the result is exact.
+    precision, then every other whose approximate score and stored error let it reach the k-th of these, and passes on k.
+    So the result is exact: a cosine is off by no more than the distance of a vector's direction from its code's.
     Vectors that are null, zero, hold null or non-finite components, or differ in length from the sample's take no
     part; repeated ids are one vector; an empty table gives no rows.
     """
@@ -118,18 +119,20 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5) -> DataFrame:
                 continue
             c = encode(a / np.linalg.norm(a, axis=1, keepdims=True), books.value)
             flat = books.value
-            norm = np.linalg.norm(sum(flat[m][c[:, m]] for m in range(flat.shape[0])), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([r.tobytes() for r in c], pa.binary()), pa.array(norm)], names=["vec_id", "v", "codes", "norm"])
+            near = sum(flat[m][c[:, m]] for m in range(flat.shape[0]))
+            norm = np.linalg.norm(near, axis=1)
+            error = np.linalg.norm(a / np.linalg.norm(a, axis=1, keepdims=True) - near / np.maximum(norm, 1e-12)[:, None], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([r.tobytes() for r in c], pa.binary()), pa.array(norm), pa.array(error)], names=["vec_id", "v", "codes", "norm", "error"])
 
-    coded = stash(index.mapInArrow(codes, "vec_id long, v array<double>, codes binary, norm double"))
+    coded = stash(index.mapInArrow(codes, "vec_id long, v array<double>, codes binary, norm double, error double"))
     left = coded.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(tall))).withColumn("h", F.explode(F.expr(f"sequence(0L, {wide - 1}L)")))
-    right = queries.withColumn("codes", F.lit(None).cast("binary")).withColumn("norm", F.lit(None).cast("double"))
+    right = queries.withColumn("codes", F.lit(None).cast("binary")).withColumn("norm", F.lit(None).cast("double")).withColumn("error", F.lit(None).cast("double"))
     right = right.withColumn("h", F.pmod(F.xxhash64("vec_id"), F.lit(wide))).withColumn("g", F.explode(F.expr(f"sequence(0L, {tall - 1}L)")))
     cells = left.unionByName(right).repartition(tall * wide, "g", "h").sortWithinPartitions("g", "h", "vec_id")
 
-    def search(ids, a, c, norm, qid, q):
+    def search(ids, a, c, norm, error, qid, q):
         order = np.argsort(ids, kind="stable")
-        ids, a, c, norm = ids[order], a[order], c[order], norm[order]
+        ids, a, c, norm, error = ids[order], a[order], c[order], norm[order], error[order]
         length, qlength = np.sqrt((a * a).sum(1)), np.sqrt((q * q).sum(1))
         table = np.einsum("qd,mkd->qmk", q, books.value)
         rows = []
@@ -139,6 +142,14 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5) -> DataFrame:
             best = np.arange(len(ids)) if len(ids) <= RERANK else np.sort(np.argpartition(-near, RERANK - 1)[:RERANK])
             best = best[ids[best] != qid[i]]
             score = (a[best] * q[i]).sum(1) / (length[best] * qlength[i])
+            if len(ids) > RERANK:
+                # all others that their error lets reach the k-th, less those that a product shows to be below it
+                least = np.partition(score, len(score) - k)[len(score) - k] - 1e-9 if len(score) >= k else -np.inf
+                more = np.flatnonzero((near / qlength[i] + error >= least) & (ids != qid[i]))
+                rough = (a @ q[i])[more] if 2 * len(more) > len(ids) else a[more] @ q[i]
+                more = more[rough / (length[more] * qlength[i]) >= least]
+                best = np.union1d(best, more)
+                score = (a[best] * q[i]).sum(1) / (length[best] * qlength[i])
             top = np.lexsort((ids[best], -score))[:k]
             rows += [(int(qid[i]), int(ids[best[j]]), float(score[j])) for j in top]
         return rows
@@ -155,8 +166,8 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5) -> DataFrame:
             is_query = t.column("codes").is_null().to_numpy()
             ids, a = t.column("vec_id").to_numpy(), np.array(t.column("v").combine_chunks().flatten()).reshape(-1, dim)
             c = np.frombuffer(b"".join(x for x in t.column("codes").to_pylist() if x is not None), np.uint8).reshape(-1, BOOKS).astype(np.int64)
-            norm = t.column("norm").to_numpy()[~is_query]
-            return search(ids[~is_query], a[~is_query], c, norm, ids[is_query], a[is_query]) if is_query.any() and len(c) else []
+            norm, error = (t.column(x).to_numpy()[~is_query] for x in ("norm", "error"))
+            return search(ids[~is_query], a[~is_query], c, norm, error, ids[is_query], a[is_query]) if is_query.any() and len(c) else []
 
         for batch in batches:
             cell = np.stack([batch.column("g").to_numpy(), batch.column("h").to_numpy()], 1)
