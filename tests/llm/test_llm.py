@@ -336,6 +336,21 @@ def test_extraction_odd_pages(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_names_are_whole_and_spare_the_article(spark):
+    story = "<article><h2 id='related-work'>Related</h2><section id='search-methods'><p>Methods</p></section><div class='share-buttons'>Share</div></article>"
+    pages = [
+        f"<div class='content with-sidebar'>{story}</div><div class='sidebar'>Links</div>",
+        f"<div class='page-widget'><p>Top</p>{story}</div><footer>End</footer>",
+        f"<div class='search'><main>{story}</main></div><div>Other</div>",
+        "<div class='post'>Story</div><div id='comments'><article>One</article><article>Two</article></div>",
+        "<div class='notice'><p>All there is</p></div><nav>Home</nav>",
+        "<div>Story</div><div class='sidebar-left'>Links</div><div class='nav_main'>Home</div>",
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in htmltext.extract(df).collect()}
+    assert found == dict(enumerate(["Related Methods"] * 3 + ["Story", "All there is", "Story"]))
+
+
 def test_style_tree_drops_what_a_site_repeats(spark):
     data = [(i, f"http://site/{i}", f"<div class='x'><span>Same words here</span></div><div class='y'>Story {i} of {i * 7}</div>") for i in range(12)]
     df = spark.createDataFrame(data, "page_id long, url string, html string")

@@ -32,22 +32,41 @@ NOISE_NAMES = frozenset(
     "sponsor sponsored promo promotion comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup login search popup modal "
     "overlay pagination pager skip toolbar contentinfo complementary".split()
 )
+#: Last parts of names that leave what stands before them its role (share-buttons), and first parts that name a state of
+#: something larger (has-sidebar).
+PLAIN_PARTS = frozenset("area articles bar block box button buttons container form inner item items left links list main outer panel posts right section slot stories top bottom unit wrap wrapper".split())
+STATES = frozenset("has is no with without".split())
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, str]]:
+def names_noise(name: str) -> bool:
+    """Whether a class, id or role names an element that isn't content: as a whole or by its last telling part."""
+    parts = [x for x in re.split(r"[-_]+", name) if x and not x.isdigit()]
+    if name in NOISE_NAMES:
+        return True
+    if not parts or parts[0] in STATES:
+        return False
+    while len(parts) > 1 and parts[-1] in PLAIN_PARTS:
+        parts.pop()
+    return parts[-1] in NOISE_NAMES
+
+
+def blocks(page: str) -> Iterator[tuple[tuple[str, ...], int, int, str]]:
     """(path, noise, main, text) of each block of text in page order, its white space evened and references decoded.
 
-    path has tag and class names from the root; noise and main tell whether an element on it plays such a role.
+    path has tag and class names from the root. noise is 2 in an element that is noise by its tag or, in an article, by its
+    name, 1 in one that is so by name alone outside of articles, else 0. main is -1 in a main element, the number of the
+    outermost article in one, else 0.
     """
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name in paths, noise, main
+    stack: list[tuple[str, str, int, int]] = []  # tag, name in paths, noise, main
+    articles = 0
     parts: list[str] = []
 
-    def flush() -> Iterator[tuple[tuple[str, ...], bool, bool, str]]:
+    def flush() -> Iterator[tuple[tuple[str, ...], int, int, str]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                yield tuple(x[1] for x in stack if x[0] not in INLINE), bool(stack) and stack[-1][2], bool(stack) and stack[-1][3], text
+                yield tuple(x[1] for x in stack if x[0] not in INLINE), stack[-1][2] if stack else 0, stack[-1][3] if stack else 0, text
 
     for m in TOKEN.finditer(page):
         if m["text"] is not None:
@@ -80,10 +99,12 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, bool, str]]:
         if tag in VOID:
             continue
         words = [w for found in NAMES.findall(m["attrs"] or "") for w in " ".join(found).lower().split()]
-        named = {part for w in words for part in (w, *re.split(r"[-_]+", w))}
-        role = tag in NOISE or (tag not in MAIN and tag not in ("html", "body") and not named.isdisjoint(NOISE_NAMES))
-        above = stack[-1] if stack else ("", "", False, False)
-        stack.append((tag, ".".join([tag, *sorted(re.sub(r"\d+", "0", w) for w in words)]), above[2] or role, above[3] or tag in MAIN))
+        above = stack[-1] if stack else ("", "", 0, 0)
+        role = 2 if tag in NOISE else 0
+        if not role and tag not in MAIN and tag not in ("html", "body") and any(map(names_noise, words)):
+            role = 2 if above[3] else 1
+        articles += tag == "article"
+        stack.append((tag, ".".join([tag, *sorted(re.sub(r"\d+", "0", w) for w in words)]), max(above[2], role), above[3] or (articles if tag == "article" else -1 if tag == "main" else 0)))
     yield from flush()
 
 
@@ -152,10 +173,20 @@ def main_text(page: str, low: frozenset[int] | set[int]) -> str:
     Branches go that are navigation, headers, footers, sidebars, notices, adverts, forms or comments by element or name,
     and those of low importance on their host. With an article or main element only what is in it counts; plain
     paragraphs and headings there stand, also where a host's pages are copies. What would leave nothing isn't applied.
+    A name takes no main element with it, nor the only article of a page, as such elements are the page's layout; of
+    several articles those below names (comments, teasers) go, unless nothing is left.
     """
-    found = [(path, main, text) for path, noise, main, text in blocks(page) if not noise]
+    all_ = [x for x in blocks(page) if x[1] < 2]
+    found = [(path, main, text) for path, noise, main, text in all_ if not noise]
+    named = [(path, main, text) for path, noise, main, text in all_ if noise and main]
     if any(main for _, main, _ in found):
         found = [x for x in found if x[1]]
+    elif any(main < 0 for _, main, _ in named):
+        found = [x for x in named if x[1] < 0]
+    elif len({main for _, main, _ in named}) == 1:
+        found = named
+    elif not found:
+        found = named or [(path, main, text) for path, _, main, text in all_]
     if low:
         kept = [x for x in found if (x[1] and "." not in x[0][-1] and re.fullmatch("article|main|p|h[1-6]|li|blockquote|pre|td|th|dd|dt", x[0][-1].split(".")[0])) or low.isdisjoint(branches(x[0]))]
         found = kept or found
