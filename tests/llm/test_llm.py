@@ -169,6 +169,29 @@ def test_bin_completion_reaches_the_optimum():
         assert got == Counter(items) and sum(p.bins for p in found) == best >= packing.lower_bound(counts, 20)
 
 
+def test_bin_completion_at_any_size():
+    # groups of copies of a few lengths that pack without waste: far above any number of pieces that could be searched one by one
+    rnd = random.Random(4)
+    for copies in (40, 40_000):
+        counts = Counter()
+        for _ in range(20):
+            a, b = rnd.randint(600, 1900), rnd.randint(600, 1400)
+            for l in (a, b, 4096 - a - b):
+                counts[l] += copies
+        found = packing.complete_bins(counts, 4096)
+        got = Counter()
+        for p in found:
+            assert sum(l * n for l, n in p.slots) <= 4096
+            for l, n in p.slots:
+                got[l] += n * p.bins
+        assert got == counts and sum(p.bins for p in found) == 20 * copies < sum(p.bins for p in packing.best_fit(counts, 4096))
+
+
+def test_dominated_fillings():
+    assert packing.dominated((4, 3), 0, 1 << 7) and packing.dominated((4,), 2, 1 << 6) and packing.dominated((4,), 1, 1 << 1)
+    assert not packing.dominated((4, 3), 0, 1 << 4 | 1 << 3 | 1 << 1) and not packing.dominated((4,), 1, 1 << 4 | 1 << 6)
+
+
 # ---------------------------------------------------------------- 2: toxicity
 
 

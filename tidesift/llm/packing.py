@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import drop, id_text, stash
+from .base import id_text, stash
 from .tokens import WordIds, _once, slices
 
 END_ID = b"\x01\x00\x00\x00"
@@ -83,130 +83,161 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return int(max(-(-size[-1] // capacity), found.max(initial=0)))
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], most: int) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of a room, fullest first: none can take one more piece or change one for a larger that fits."""
-    found: list[tuple[int, ...]] = []
-    steps = [0]
+class _Steps:
+    """How many choices a search may still look at."""
 
-    def grow(at: int, left: int, taken: tuple[int, ...]) -> None:
-        steps[0] += 1
-        if steps[0] > 50 * most:
+    def __init__(self, left: int):
+        self.left = left
+
+    def more(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def sums_of(there: int, capacity: int) -> int:
+    """The bits of all totals up to the capacity that lengths, given as bits, can make if each may be taken again and again.
+
+    A length that shorter ones make already adds nothing, so few are worked through, however many there are.
+    """
+    full, out = (2 << capacity) - 1, 1
+    while new := there & ~out & full:
+        step = (new & -new).bit_length() - 1
+        while step <= capacity:
+            out |= out << step & full
+            step *= 2
+    return out
+
+
+def exact(total: int, largest: int, counts: list[int], there: int, reach: int, taken: tuple[int, ...], steps: _Steps) -> Iterator[tuple[int, ...]]:
+    """Pieces, none above ``largest``, that add up to a total: larger ones first. there: the bits of lengths that are left;
+    taken: pieces that counts still holds."""
+    if not total:
+        yield ()
+        return
+    left = there & (2 << min(total, largest)) - 1
+    while left and steps.more():
+        l = left.bit_length() - 1
+        left ^= 1 << l
+        if reach >> (total - l) & 1 and counts[l] > taken.count(l):
+            for rest in exact(total - l, l, counts, there, reach, (*taken, l), steps):
+                yield (l, *rest)
+
+
+def _spread(bits: int, width: int) -> int:
+    """Bits set where one at most ``width`` below is."""
+    done = 0
+    while done < width:
+        step = min(done + 1, width - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(filling: tuple[int, ...], waste: int, there: int) -> bool:
+    """Whether a piece that is left could go in, alone or for some of the filling's pieces, without more room.
+
+    Such a piece is the better choice: what it replaces can later stand where it would have stood (Martello and Toth).
+    """
+    one, many = 0, 0  # totals of one piece, of two pieces or more
+    for l in filling:
+        many |= many << l | one << l
+        one |= 1 << l
+    better = _spread(many, waste) | (_spread(1 | one, waste - 1) << 1 if waste else 0)
+    return bool(better & there)
+
+
+def fillings(top: int, capacity: int, counts: list[int], there: int, slack: int, steps: _Steps) -> Iterator[tuple[tuple[int, ...], int]]:
+    """(filling, waste): undominated fillings around a piece of length ``top``, least waste first, up to ``slack``."""
+    room = capacity - top
+    reach = sums_of(there, room)
+    for waste in range(min(slack, room) + 1):
+        if reach >> (room - waste) & 1:
+            for filling in exact(room - waste, top, counts, there, reach, (top,), steps):
+                free = there
+                for l in {top, *filling}:
+                    if counts[l] <= filling.count(l) + (l == top):
+                        free &= ~(1 << l)
+                if not dominated(filling, waste, free & (2 << room) - 1):
+                    yield filling, waste
+        if not steps.more():
             return
-        fits = False
-        for k in range(at, len(lengths)):
-            l = lengths[k]
-            if l <= left and taken.count(l) < counts[l]:
-                fits = True
-                grow(k, left - l, (*taken, l))
-        if not fits and not any(counts[l] > taken.count(l) and any(t < l <= t + left for t in taken) for l in lengths) and not any(l <= left and counts[l] > taken.count(l) for l in lengths):
-            found.append(taken)
-
-    grow(0, room, ())
-    found.sort(key=lambda t: -sum(t))
-    yield from found[:most]
-
-
-def fullest(pieces, room: int, tries: int = 64) -> list[int]:
-    """A filling of a room from a histogram: one piece, two or three that fill it exactly, with the largest first, else
-    the largest piece that fits and a filling of what is left."""
-    import numpy as np
 
-    def two(room: int, pieces) -> list[int] | None:
-        a = np.flatnonzero(pieces[: room + 1])
-        a = a[2 * a >= room]
-        b = room - a
-        fits = a[((b == 0) | (pieces[b] > 0)) & ((a != b) | (pieces[a] > 1))]
-        return [int(x) for x in (fits[-1], room - fits[-1]) if x] if len(fits) else None
-
-    if room <= 0:
-        return []
-    if found := two(room, pieces):
-        return found
-    small = np.flatnonzero(pieces[: room + 1])[::-1]
-    for x in small[:tries].tolist():
-        pieces[x] -= 1
-        found = two(room - x, pieces) if room > x else []
-        pieces[x] += 1
-        if found is not None and max(found, default=0) <= x:
-            return [x, *found]
-    if not len(small):
-        return []
-    x = int(small[0])
-    pieces[x] -= 1
-    found = [x, *fullest(pieces, room - x, tries)]
-    pieces[x] += 1
-    return found
-
-
-def first_descent(counts: dict[int, int], capacity: int) -> list[Pattern]:
-    """The first leaf of bin completion: around the largest piece left goes the fullest filling, in as many equal sequences
-    as the counts allow, so each step uses a length up or nearly so."""
-    import numpy as np
 
-    pieces = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        pieces[length] = n
-    out = []
-    top = capacity
-    while True:
-        while top and not pieces[top]:
-            top -= 1
-        if not top:
-            return out
-        pieces[top] -= 1
-        filling = fullest(pieces, capacity - top)
-        pieces[top] += 1
-        slots = sorted(Counter([top, *filling]).items(), reverse=True)
-        bins = min(int(pieces[l]) // n for l, n in slots)
-        for l, n in slots:
-            pieces[l] -= bins * n
-        out.append(Pattern(bins, tuple(slots)))
-
-
-def complete_bins(counts: dict[int, int], capacity: int, most_nodes: int = 20_000, most_pieces: int = 600) -> list[Pattern]:
-    """Bin completion (Korf): branch and bound over the fillings around the largest piece left.
-
-    The incumbent is the best-fit solution, or the search's first descent where that is better; a branch is cut when its
-    waste so far makes the incumbent's number of sequences unreachable, and the search ends as soon as the lower
-    bound is met. Beyond ``most_nodes`` branches, or for more than ``most_pieces`` pieces, the incumbent stands.
+def search(counts: dict[int, int], capacity: int, goal: int, steps: _Steps) -> list[Pattern] | None:
+    """A packing in at most ``goal`` sequences, or None where there is none (or no steps are left).
+
+    Depth-first bin completion: a node takes the largest piece left and a filling around it, for as many equal
+    sequences as the counts allow, then for half as many and so on down to one. A branch ends where its waste exceeds what
+    the goal leaves. Each choice uses a length up or nearly so, and so depth follows the lengths, not the pieces.
+    """
+    left = [0] * (capacity + 1)
+    there = 0
+    for l, n in counts.items():
+        left[l] = n
+        there |= 1 << l
+    slack = goal * capacity - sum(l * n for l, n in counts.items())
+    if slack < 0:
+        return None
+
+    def choices(there: int, slack: int) -> Iterator[tuple[int, tuple[int, ...], int, int]]:
+        top = there.bit_length() - 1
+        for filling, waste in fillings(top, capacity, left, there, slack, steps):
+            pieces = (top, *filling)
+            bins = min(left[l] // pieces.count(l) for l in set(pieces))
+            if waste:
+                bins = min(bins, slack // waste)
+            while bins:
+                yield top, filling, bins, waste
+                bins //= 2
+
+    path: list[tuple[tuple[int, ...], int, int, int]] = []  # pieces, bins, and what was there and the slack before
+    open_ = [choices(there, slack)]
+    while open_:
+        found = next(open_[-1], None) if steps.more() else None
+        if found is None:
+            open_.pop()
+            if path:
+                pieces, bins, there, slack = path.pop()
+                for l in pieces:
+                    left[l] += bins
+            if steps.left < 0:
+                return None
+            continue
+        top, filling, bins, waste = found
+        path.append(((top, *filling), bins, there, slack))
+        for l in (top, *filling):
+            left[l] -= bins
+            if not left[l]:
+                there &= ~(1 << l)
+        slack -= bins * waste
+        if not there:
+            return [Pattern(b, tuple(sorted(Counter(p).items(), reverse=True))) for p, b, _, _ in path]
+        open_.append(choices(there, slack))
+    return None
+
+
+def complete_bins(counts: dict[int, int], capacity: int, most_steps: int = 100_000) -> list[Pattern]:
+    """Bin completion (Korf) over a histogram of lengths, of any number of pieces.
+
+    The incumbent is the best-fit solution. While it is above the lower bound, a search looks for a packing that meets
+    the bound, then for one half-way to the incumbent and so on; one found is the new incumbent, and a goal that has none,
+    or that used its share of ``most_steps`` up (about two seconds in all), is given up.
+    Steps follow the number of different lengths, at most ``capacity``; how many pieces there are makes no difference.
     """
     counts = {l: n for l, n in counts.items() if n}
     best = best_fit(counts, capacity)
     size, least = sum(p.bins for p in best), lower_bound(counts, capacity)
-    if size > least:
-        other = first_descent(counts, capacity)
-        if sum(p.bins for p in other) < size:
-            best, size = other, sum(p.bins for p in other)
-    if size <= least or sum(counts.values()) > most_pieces:
-        return best
-    total = sum(l * n for l, n in counts.items())
-    nodes = [0]
-
-    def branch(left: dict[int, int], used: list[tuple[int, ...]], waste: int) -> list[tuple[int, ...]] | None:
-        nonlocal best, size
-        if not left:
-            size, best = len(used), [Pattern(1, tuple((l, b.count(l)) for l in sorted(set(b), reverse=True))) for b in used]
-            return used
-        nodes[0] += 1
-        if nodes[0] > most_nodes or size <= least:
-            return None
-        top = max(left)
-        rest = dict(left)
-        rest[top] -= 1
-        lengths = sorted((l for l, n in rest.items() if n and l <= capacity - top), reverse=True)
-        for filling in fillings(capacity - top, lengths, rest, 24):
-            more = waste + capacity - top - sum(filling)
-            if more > (size - 1) * capacity - total or len(used) + 1 + -(-(sum(l * n for l, n in left.items()) - top - sum(filling)) // capacity) >= size:
-                continue
-            after = dict(rest)
-            for l in filling:
-                after[l] -= 1
-            branch({l: n for l, n in after.items() if n}, [*used, (top, *filling)], more)
-            if size <= least or nodes[0] > most_nodes:
-                break
-        return None
-
-    branch(counts, [], 0)
+    floor, goal, left = least, least, most_steps
+    while floor < size and left > 0:
+        steps = _Steps(max(1, left // 3))
+        left -= steps.left
+        found = search(counts, capacity, goal, steps)
+        left += max(0, steps.left)
+        if found is None:
+            floor = goal + 1
+        else:
+            best, size = found, sum(p.bins for p in found)
+        goal = (floor + size) // 2
     return best
 
 
@@ -229,20 +260,24 @@ def places(patterns: list[Pattern]) -> dict[int, list[tuple[int, int, int, int]]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every document, its ids ended by id 1 and cut at ``capacity``."""
+    """doc_id, piece, start, length and ids_crc32 of every document, its ids ended by id 1 and cut at ``capacity``.
+
+    Null and empty texts are the end id alone; a very long text has as many pieces as it needs; repeated rows and null ids
+    have pieces of their own; other columns aren't read; an empty table gives no rows.
+    """
 
     def cut(batches):
         model = _once(WordIds, tokenizer_path)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
-            ids_, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            rows = []
-            for a, b in slices(texts):
-                for doc, ids in zip(ids_[a:b], model.encode(texts[a:b]), strict=True):
-                    ids += END_ID
+            docs, rows = iter(batch.column("doc_id").to_pylist()), []
+            for texts in slices(batch.column("text")):
+                for ids in model.encode(texts):
+                    doc, ids = next(docs), ids + END_ID
                     n = len(ids) // 4
                     rows += [(doc, k, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])) for k, s in enumerate(range(0, n, capacity))]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return id_text(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -254,7 +289,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, chunk: int = 256) -> DataFrame
     patterns of equal sequences. Pieces of a length are numbered through salted windows (a length's salts follow its
     count, so a length held by a third of all rows is spread like any other), and a piece's number tells its place.
     The plan that workers get has at most a slot list for each of 3 * capacity patterns, whatever the input's size.
-    Rows that repeat count as pieces of their own; no rows give no sequences.
+    Rows that repeat count as pieces of their own; null ids and extra columns pass through, but columns named sequence_id
+    or offset are replaced; no rows give no sequences.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = places(complete_bins(counts, capacity))
@@ -293,8 +329,11 @@ def pack(pieces: DataFrame, capacity: int = 4096, chunk: int = 256) -> DataFrame
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
-    """Documents tokenised, cut and packed; the pieces are stashed, since the plan and the placing both read them."""
+    """Documents tokenised, cut and packed; the pieces are stashed, since the plan and the placing both read them.
+
+    Null, empty and very long texts, repeated rows, null ids, other columns and empty tables are as in ``token_pieces``.
+    """
     return pack(stash(token_pieces(docs, tokenizer_path, capacity)), capacity)
 
 
-__all__ = ["Pattern", "best_fit", "complete_bins", "drop", "first_descent", "lower_bound", "pack", "pack_documents", "places", "token_pieces"]
+__all__ = ["Pattern", "best_fit", "complete_bins", "lower_bound", "pack", "pack_documents", "places", "search", "token_pieces"]

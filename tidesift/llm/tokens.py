@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from .base import id_text, stash
 
 #: Entries of a worker's table while it gathers; at this size it is emptied, which costs time only.
 TABLE_ENTRIES = 400_000
-#: Chunks and words whose ids a worker keeps, at some 250 bytes each: encoding one again costs more than looking it up.
-CHUNK_ENTRIES, WORD_ENTRIES = 800_000, 1_200_000
+#: Chunks of a generation of the table of ids that a worker keeps, at some 200 bytes each; there are two generations.
+CHUNK_ENTRIES = 500_000
 #: Pre-tokens that workers hold with their counts, the most frequent; all others are joined.
 HELD = 300_000
 #: Characters of a block of documents, for which a rarer pre-token is one row.
@@ -64,16 +65,16 @@ def _once(kind, *args):
     return _models[kind, args]
 
 
-def slices(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of a batch of about ``most`` characters, so that working memory doesn't follow the batch."""
+def slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[pa.Array]:
+    """Parts of a batch of about ``most`` bytes, so that working memory doesn't follow the batch."""
     start = size = 0
-    for k, x in enumerate(texts):
-        size += len(x)
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n
         if size > most:
-            yield start, k + 1
+            yield texts.slice(start, k + 1 - start)
             start, size = k + 1, 0
     if start < len(texts):
-        yield start, len(texts)
+        yield texts.slice(start)
 
 
 def distinct_tokens(docs: DataFrame, model_path: str) -> DataFrame:
@@ -126,7 +127,8 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, held: int
     pre-token frequencies; no document's ids are ever materialised. Workers hold the ``held`` most frequent
     pre-tokens and sum those at once. Others are joined to the table as one row for a pre-token and a block of documents,
     with the documents it stands in as often as it does, so no pre-token has more rows than there are blocks.
-    Null and empty texts count 0. Repeated rows and ids give a row each; an empty table gives none.
+    Null and empty texts count 0, null ids stay null. A very long text is split by words and never held as ids. Repeated
+    rows and ids give a row each; columns but doc_id and text aren't read, whatever their names; an empty table gives no rows.
     """
     d = id_text(docs)
     counts = stash(distinct_tokens(d, model_path))
@@ -179,92 +181,157 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, held: int
     rows = parts.where("token is null").select("block", "i", "doc_id", "n_bytes", "n_tokens", "docs", F.lit(0).cast("long").alias("n"))
 
     def add(batches):
+        """Sums of one block at a time, as rows come in order of blocks."""
         import numpy as np
 
-        blocks: dict[int, list] = {}
-        for batch in batches:
-            block, is_token = batch.column("block").to_numpy(), batch.column("docs").is_valid().to_numpy(zero_copy_only=False)
-            for b in np.unique(block):
-                own = blocks.setdefault(int(b), [[], np.zeros(0, np.int64)])
-                if len(at := np.flatnonzero((block == b) & ~is_token)):
-                    own[0].append(batch.take(pa.array(at)))
-                if len(at := np.flatnonzero((block == b) & is_token)):
-                    some = batch.take(pa.array(at))
-                    at = some.column("docs").flatten().to_numpy()
-                    n = np.repeat(some.column("n").to_numpy(), np.diff(some.column("docs").offsets.to_numpy()))
-                    sums = np.bincount(at, weights=n, minlength=len(own[1])).astype(np.int64)
-                    sums[: len(own[1])] += own[1]
-                    own[1] = sums
-        for found, sums in blocks.values():
+        now, found, sums = None, [], np.zeros(0, np.int64)
+
+        def close():
             for x in found:
                 i = x.column("i").to_numpy()
                 n = x.column("n_tokens").to_numpy() + np.concatenate([sums, np.zeros(max(0, int(i.max()) + 1 - len(sums)), np.int64)])[i]
                 yield pa.RecordBatch.from_arrays([x.column("doc_id"), x.column("n_bytes"), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.unionByName(met).repartition("block").mapInArrow(add, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if block[a] != now:
+                    yield from close()
+                    now, found, sums = block[a], [], np.zeros(0, np.int64)
+                part = batch.slice(a, b - a)
+                is_token = part.column("docs").is_valid()
+                if (own := part.filter(pc.invert(is_token))).num_rows:
+                    found.append(own)
+                if (some := part.filter(is_token)).num_rows:
+                    at = some.column("docs").flatten().to_numpy()
+                    n = np.repeat(some.column("n").to_numpy(), np.diff(some.column("docs").offsets.to_numpy()))
+                    more = np.bincount(at, weights=n, minlength=len(sums)).astype(np.int64)
+                    more[: len(sums)] += sums
+                    sums = more
+        yield from close()
+
+    return rows.unionByName(met).repartition("block").sortWithinPartitions("block").mapInArrow(add, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 class WordIds:
     """Token ids (unsigned little-endian 32-bit) of a tokenizer that drops white space, by chunk between spaces.
 
     Its normaliser and its splitting look at no more than a chunk, so ids of a text are those of its chunks in
-    order; those of a word with marks after it are the word's and the marks'. What is new to the tables is encoded
-    together, parted by a special token that stands for no text.
+    order; those of a word with marks after it are the word's and the marks'. A batch's distinct chunks are looked up once
+    and their ids laid out by position. Tables hold two generations of chunks: what was met lately outlives what wasn't,
+    so a full table never loses its frequent chunks. Words in small letters go to the bare merge model, all that is
+    new at once; other chunks go through the whole tokenizer, parted by a special token that stands for no text.
     """
 
-    def __init__(self, path: str, entries: int = CHUNK_ENTRIES, words: int = WORD_ENTRIES):
+    def __init__(self, path: str, entries: int = CHUNK_ENTRIES):
+        import json
         import os
+        from pathlib import Path
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        made = json.loads(Path(path).read_text())
+        self.model = Tokenizer.from_str(json.dumps(made))
         self.model.no_truncation()
         self.model.no_padding()
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.mark = self.added[0]
         self.mark_id = self.model.token_to_id(self.mark)
-        self.entries, self.most_words, self.ids, self.words = entries, words, {}, {}
-
-    def stem(self, chunk: str) -> tuple[str, str] | None:
+        self.entries, self.young, self.old = entries, {}, {}
+        self.bare = self.ends = None
+        if suffix := made["model"].get("end_of_word_suffix"):
+            import numpy as np
+
+            self.bare = Tokenizer.from_str(json.dumps({"version": "1.0", "added_tokens": [], "model": made["model"]}))
+            self.ends = np.zeros(1 + max(made["model"]["vocab"].values()), bool)
+            self.ends[[i for w, i in made["model"]["vocab"].items() if w.endswith(suffix)]] = True
+            self.bytes = byte_letters()
+
+    @staticmethod
+    def stem(chunk: str) -> tuple[str, str] | None:
         """A word in lower case and the marks after it, where the tokenizer's splitting surely parts the two."""
-        word = chunk.rstrip(".,;:!?")
-        if word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word):
+        word = chunk if chunk.isalpha() else chunk.rstrip(".,;:!?")
+        if word.isascii() and word.isalpha() or word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:
             return word.lower(), chunk[len(word) :]
         return None
 
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.words) > self.most_words:
-            self.words.clear()
-        parts = [self.stem(c) or (c, "") for c in chunks]
-        words = self.words
-        if new := list({w for p in parts for w in p if w not in words}):
-            self.look_up(new)
-        self.ids.update((c, words[w] + words[m] if m else words[w]) for c, (w, m) in zip(chunks, parts, strict=True))
+    def plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words that ``stem`` gave: the bare model reads their bytes as letters; an end mark shows where a word ends."""
+        import numpy as np
 
-    def look_up(self, new: list[str]) -> None:
+        if self.bare is None:
+            return self.other(words)
+        out = []
+        for k in range(0, len(words), 8192):
+            some = words[k : k + 8192]
+            ids = np.array(self.bare.encode([w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes) for w in some], is_pretokenized=True, add_special_tokens=False).ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(cuts) != len(some):
+                out += self.other(some)
+                continue
+            raw, cuts = ids.tobytes(), [0, *cuts.tolist()]
+            out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def other(self, chunks: list[str]) -> list[bytes]:
+        """Ids of any chunks, by the whole tokenizer."""
         import numpy as np
 
-        plain = [c for c in new if not any(m in c for m in self.added)]
+        found: dict[str, bytes] = {}
+        plain = [c for c in chunks if not any(m in c for m in self.added)]
         for k in range(0, len(plain), 16_384):
             some = plain[k : k + 16_384]
             groups = [some[i : i + 256] for i in range(0, len(some), 256)]
-            for group, found in zip(groups, self.model.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, dtype="<u4")
+            for group, made in zip(groups, self.model.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(made.ids, dtype="<u4")
                 cuts = np.flatnonzero(ids == self.mark_id)
                 if len(cuts) != len(group) - 1:
                     raise ValueError("the marks between chunks were lost")
                 raw, starts, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-                self.words.update((w, raw[a:b]) for w, a, b in zip(group, starts, ends, strict=True))
-        for c in new:
-            if c not in self.words:
-                self.words[c] = np.array(self.model.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.ids) > self.entries:
-            self.ids.clear()
-        known = self.ids
-        if new := list({w for p in parts for w in p if w not in known}):
-            self.learn(new)
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+                found.update((w, raw[a:b]) for w, a, b in zip(group, starts, ends, strict=True))
+        return [found[c] if c in found else np.array(self.model.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() for c in chunks]
+
+    def ids_of(self, chunks: list[str], make=None) -> list[bytes]:
+        """Ids of distinct chunks, from the tables or made and kept."""
+        young, old = self.young, self.old
+        out = list(map(young.get, chunks))
+        lost = [k for k, ids in enumerate(out) if ids is None]
+        names = [chunks[k] for k in lost]
+        found = list(map(old.get, names)) if old else [None] * len(names)
+        if new := [c for c, ids in zip(names, found, strict=True) if ids is None]:
+            made = dict(zip(new, (make or self.learn)(new), strict=True))
+            young.update(made)
+            found = [made[c] if ids is None else ids for c, ids in zip(names, found, strict=True)] if old else list(made.values())
+        if old:
+            young.update(zip(names, found, strict=True))
+        for k, ids in zip(lost, found, strict=True):
+            out[k] = ids
+        return out
+
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        parts = [self.stem(c) for c in chunks]
+        words = list({p[0] for p in parts if p})
+        rest = list({c for c, p in zip(chunks, parts, strict=True) if p is None} | {p[1] for p in parts if p and p[1]})
+        known = dict(zip(words, self.ids_of(words, self.plain), strict=True)) | dict(zip(rest, self.ids_of(rest, self.other), strict=True))
+        return [known[c] if p is None else known[p[0]] + known[p[1]] if p[1] else known[p[0]] for c, p in zip(chunks, parts, strict=True)]
+
+    def encode(self, texts) -> list[bytes]:
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        found = parts.flatten().dictionary_encode()
+        ids = self.ids_of(found.dictionary.to_pylist())
+        if len(self.young) > self.entries:
+            self.old, self.young = self.young, {}
+        placed = list(map(ids.__getitem__, found.indices.to_numpy().tolist()))
+        cuts = parts.offsets.to_numpy().tolist()
+        return [b"".join(placed[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level models write bytes as: printable Latin-1 as it is, all others from U+0100 on in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
