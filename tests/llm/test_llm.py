@@ -14,7 +14,7 @@ import pytest
 from conftest import plain, rows
 
 import corpus_pipeline
-from tidesift.llm import ann, base, entries, graph, htmltext, linededup, lm, mixing, neardup, ngrams, packing, quality, tokens, toxicity
+from tidesift.llm import ann, base, entries, graph, htmltext, linededup, lm, mixing, neardup, packing, quality, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, _t string, words long, node long, key long, size long"
@@ -432,74 +432,9 @@ def test_slots_fill_targets_in_shards(spark):
 # ---------------------------------------------------------------- 7: language model
 
 
-def test_scores_against_a_plain_model(spark, documents, monkeypatch):
-    monkeypatch.setattr(lm, "HELD", 60)
-    df = spark.createDataFrame([(i, t) for i, t, _ in documents] + [(10_001, None), (10_002, ""), (10_003, "zzzz unheard")], "doc_id long, text string")
-    found = {r["doc_id"]: r for r in lm.score_documents(df).collect()}
-    toks = {r["doc_id"]: [w.decode() for w in lm.words(r["text"] or "")] for r in df.collect()}
-    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in toks}
-    c = Counter(w for i, t in toks.items() if not out[i] for w in t)
-    n, v = sum(c.values()), len(c)
-    d = (lambda one, two: min(0.95, max(0.1, one / max(1, one + 2 * two))))(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
-    docs = sum(not x for x in out.values())
-    top = [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))]
-    least = min(x for x in _held(c.values(), 60))
-    top = [w for w in top if c[w] >= least]
-    pairs, triples = Counter(), Counter()
-    few, fewer = {*top[: lm.PAIRED], "<s>"}, {*top[: lm.TRIPLED], "<s>"}
-    for i, t in toks.items():
-        if not out[i]:
-            s = ["<s>", *t]
-            pairs.update(p for p in zip(s, s[1:], strict=False) if p[0] in few and p[1] in few)
-            triples.update(p for p in zip(s, s[1:], s[2:], strict=False) if all(x in fewer for x in p))
-
-    def uni(w):
-        return (c[w] - d if c[w] else d * v) / n
-
-    def after(h, w):
-        if len(h) == 2 and h in pairs and h[0] in fewer and h[1] in fewer and any(k[:2] == h for k in triples):
-            mine = [x for k, x in triples.items() if k[:2] == h]
-            keep = 1 - sum(x - 0.75 for x in mine) / pairs[h]
-            return (max(triples[*h, w] - 0.75, 0) / pairs[h] if triples[*h, w] else 0) + keep * after(h[1:], w)
-        h = h[-1:]
-        if h and h[0] in few and h[0] != "\n" and any(k[0] == h[0] for k in pairs):
-            total = docs if h[0] == "<s>" else c[h[0]]
-            mine = [x for k, x in pairs.items() if k[0] == h[0]]
-            keep = 1 - sum(x - 0.75 for x in mine) / total
-            return (max(pairs[h[0], w] - 0.75, 0) / total if pairs[h[0], w] else 0) + keep * uni(w)
-        return uni(w)
-
-    for i in [*list(toks)[:25], 10_001, 10_002, 10_003]:
-        r, s = found[i], ["<s>", *toks[i]]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(toks[i]), sum(c[w] > 0 for w in toks[i]), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in toks[i]))
-        assert r["score"] == pytest.approx(sum(math.log10(after(tuple(s[max(0, k - 2) : k]), s[k])) for k in range(1, len(s))))
-    held = [r for r in found.values() if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    assert sum(uni(w) for w in c) + d * v / n == pytest.approx(1)
-
-
-def _held(counts, room):
-    """Counts that the histogram rule holds: whole quarter-octave steps from the top while they fit."""
-    steps = defaultdict(list)
-    for x in counts:
-        steps[math.floor(4 * math.log2(x))].append(x)
-    for s in sorted(steps, reverse=True):
-        room -= len(steps[s])
-        if room < 0:
-            return
-        yield from steps[s]
-
-
-def test_scores_of_odd_rows(odd, none):
-    found = lm.score_documents(odd).collect()
-    assert len(found) == len(odd_rows()) and all(math.isfinite(r["score"]) for r in found)
-    assert lm.score_documents(none).count() == 0
-
-
 def test_scores_by_all_ngrams(spark, odd, none, documents, tmp_path, monkeypatch):
-    # a phrase of words beyond any list of frequent ones, in every tenth document
-    texts = [(i, f"{t} zyx{i % 7} quux corge" if i % 10 == 0 else t) for i, t, _ in documents] + [(20_001, None), (20_002, "zzzz unheard"), (20_003, "zyx0 quux corge")]
+    # a phrase of words beyond any list of frequent ones, in every tenth document; odd white space and letters
+    texts = [(i, f"{t} zyx{i % 7} quux corge" if i % 10 == 0 else t) for i, t, _ in documents] + [(20_001, None), (20_002, "zzzz unheard"), (20_003, "zyx0 quux corge"), (20_004, " \n\tÉa\x0bZZ\u00a0q  \x1fx\r"), (20_005, "The OF the")]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     df.write.parquet(str(tmp_path / "documents.parquet"))
     toks = {i: [w.decode() for w in lm.words(t or "")] for i, t in texts}
@@ -513,26 +448,19 @@ def test_scores_by_all_ngrams(spark, odd, none, documents, tmp_path, monkeypatch
             triples.update(zip(s, s[1:], s[2:], strict=False))
     n, v, once, twice = sum(c.values()), len(c), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
     d = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-    total, kinds = Counter(), Counter()
-    for k, x in [*pairs.items(), *triples.items()]:
-        total[k[:-1]] += x
-        kinds[k[:-1]] += 1
+    docs = sum(not x for x in out.values())
 
     def after(h, w):
         if not h:
             return (c[w] - d if c[w] else d * v) / n
-        if h not in total:
-            return after(h[1:], w)
-        x = (triples if len(h) == 2 else pairs)[*h, w]
-        return (max(x - 0.75, 0) + 0.75 * kinds[h] * after(h[1:], w)) / total[h]
+        total = pairs[h] if len(h) == 2 else docs if h[0] == "<s>" else c[h[0]]
+        return ((triples if len(h) == 2 else pairs)[*h, w] + lm.PULL[len(h) - 1] * after(h[1:], w)) / (total + lm.PULL[len(h) - 1])
 
     want = {i: sum(math.log10(after(tuple(["<s>", *t][max(0, k - 1) : k + 1]), w)) for k, w in enumerate(t)) for i, t in toks.items()}
     for small in (False, True):
         if small:
-            monkeypatch.setattr(ngrams, "BLOCK_CHARS", 40_000)
-            monkeypatch.setattr(ngrams, "BUCKET_CHARS", 50_000)
-            monkeypatch.setattr(ngrams, "SPREAD", 300)
-            monkeypatch.setattr(ngrams, "MANY", 5)
+            monkeypatch.setattr(lm, "BLOCK_CHARS", 40_000)
+            monkeypatch.setattr(lm, "BUCKET_CHARS", 50_000)
         found = {r["doc_id"]: r for r in entries.op7_lm_scoring(spark, str(tmp_path)).collect()}
         assert set(found) == set(toks)
         for i, t in toks.items():
@@ -540,8 +468,12 @@ def test_scores_by_all_ngrams(spark, odd, none, documents, tmp_path, monkeypatch
             assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[i], len(t), sum(c[w] > 0 for w in t), n)
             assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
             assert r["score"] == pytest.approx(want[i])
-    assert len(ngrams.score_documents(odd).collect()) == len(odd_rows()) and ngrams.score_documents(none).count() == 0
-    nothing = ngrams.score_documents(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")).collect()
+    held = [found[i] for i in toks if out[i]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    # an unknown token and all known ones take all of a context's probability
+    assert sum(after(("the",), w) for w in c) + after(("the",), "never heard") == pytest.approx(1)
+    assert len(lm.score_documents(odd).collect()) == len(odd_rows()) and lm.score_documents(none).count() == 0
+    nothing = lm.score_documents(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")).collect()
     assert [(r["score"], r["n_known"]) for r in nothing] == [(0, 0)] * 2
 
 

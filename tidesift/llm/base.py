@@ -43,7 +43,7 @@ def stash(df: DataFrame) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
+def drop_stash(df: DataFrame) -> None:
     """Remove a stash that nothing reads any more."""
     spark = df.sparkSession
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stash)

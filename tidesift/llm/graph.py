@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .base import drop, stash
+from .base import drop_stash, stash
 
 
 def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,9 +40,9 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
         stars, least = _large_star(now)
         after = stash(_small_star(stars).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("sum")))
         found = seen.get
-        drop(least)
+        drop_stash(least)
         if old is not None:
-            drop(old)
+            drop_stash(old)
         now = old = after
         if found == mark:
             break
