@@ -13,8 +13,11 @@ from .base import stash
 BOOKS, WORDS, BEAM = 16, 64, 4
 #: Vectors that the codebooks are trained on, at most: those with the least hashes of their ids.
 SAMPLE = 16_384
-#: Codes and queries that meet in one task, and the candidates of a query that a task reranks first.
-CODES, QUERIES, RERANK = 8192, 512, 256
+#: Codes and queries that meet in one cell at most, queries whose lookup tables are held at a time, and the candidates of a
+#: query that a cell reranks first.
+CODES, QUERIES, TABLES, RERANK = 8192, 8192, 256, 256
+#: Tasks that cells are dealt to, at most; a task takes one cell after the other.
+TASKS = 20_000
 
 
 def train(x, books: int = BOOKS, words: int = WORDS, rounds: int = 8, seed: int = 5):
@@ -77,10 +80,10 @@ def encode(x, c, beam: int = BEAM):
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: the vectors that take part, as doubles, one a vec_id."""
+    """vec_id, v: the vectors that take part, as doubles, one a vec_id (of several the least, component by component)."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     v = v.where("vec_id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity')) and exists(v, x -> x <> 0)")
-    return v.dropDuplicates(["vec_id"])
+    return v.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5) -> DataFrame:
@@ -93,7 +96,8 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5) -> DataFrame:
     precision, then every other whose approximate score and stored error let it reach the k-th of these, and passes on k.
     So the result is exact: a cosine is off by no more than the distance of a vector's direction from its code's.
     Vectors that are null, zero, hold null or non-finite components, or differ in length from the sample's take no
-    part; repeated ids are one vector; an empty table gives no rows.
+    part, nor do null ids; repeated ids are one vector, the least by components; ties go to the smaller id; other columns
+    aren't read, whatever their names; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     v = stash(_valid(vectors))
@@ -110,7 +114,10 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5) -> DataFrame:
     x = np.array([s for s in sample if len(s) == dim])
     books = spark.sparkContext.broadcast(train(x / np.linalg.norm(x, axis=1, keepdims=True)))
     index, queries = index.where(F.size("v") == dim), v.where((F.size("v") == dim) & (F.col("vec_id") % query_every == 0))
-    tall, wide = max(1, math.ceil(index.count() / CODES)), max(1, math.ceil(queries.count() / QUERIES))
+    # each vector is sent once for a block of queries, each query once for a block of codes; few vectors are dealt to all cores
+    asked, cores = queries.count(), spark.sparkContext.defaultParallelism
+    tall = max(1, math.ceil(index.count() / CODES))
+    wide = max(1, math.ceil(asked / QUERIES), min(math.ceil(asked / 64), math.ceil(2 * cores / tall)))
 
     def codes(batches):
         for batch in batches:
@@ -128,16 +135,17 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5) -> DataFrame:
     left = coded.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(tall))).withColumn("h", F.explode(F.expr(f"sequence(0L, {wide - 1}L)")))
     right = queries.withColumn("codes", F.lit(None).cast("binary")).withColumn("norm", F.lit(None).cast("double")).withColumn("error", F.lit(None).cast("double"))
     right = right.withColumn("h", F.pmod(F.xxhash64("vec_id"), F.lit(wide))).withColumn("g", F.explode(F.expr(f"sequence(0L, {tall - 1}L)")))
-    cells = left.unionByName(right).repartition(tall * wide, "g", "h").sortWithinPartitions("g", "h", "vec_id")
+    cells = left.unionByName(right).repartition(min(TASKS, tall * wide), "g", "h").sortWithinPartitions("g", "h", "vec_id")
 
     def search(ids, a, c, norm, error, qid, q):
         order = np.argsort(ids, kind="stable")
         ids, a, c, norm, error = ids[order], a[order], c[order], norm[order], error[order]
         length, qlength = np.sqrt((a * a).sum(1)), np.sqrt((q * q).sum(1))
-        table = np.einsum("qd,mkd->qmk", q, books.value)
         rows = []
         for i in range(len(qid)):
-            near = table[i, np.arange(table.shape[1])[None, :], c].sum(1) / np.maximum(norm, 1e-12)
+            if i % TABLES == 0:
+                table = np.einsum("qd,mkd->qmk", q[i : i + TABLES], books.value)
+            near = table[i % TABLES, np.arange(table.shape[1])[None, :], c].sum(1) / np.maximum(norm, 1e-12)
             near[ids == qid[i]] = -np.inf
             best = np.arange(len(ids)) if len(ids) <= RERANK else np.sort(np.argpartition(-near, RERANK - 1)[:RERANK])
             best = best[ids[best] != qid[i]]

@@ -69,6 +69,18 @@ def permuted(index: str, blocks: str, source: str, seed: int, rounds: int = 16)
             f"pmod({partner}, {blocks}), x))")
 
 
+def _slots(plan: DataFrame, block: int) -> DataFrame:
+    """A source's slots by number, with its blocks, whole passes, rest and the slots of all sources."""
+    p = plan.where("source_size > 0").withColumn("blocks", F.expr(f"cast(ceil(source_size / {block}) as bigint)"))
+    p = p.withColumn("passes", F.expr("cast(floor(target / source_size) as bigint)"))
+    p = p.withColumn("rest", F.expr("cast(round(target - passes * source_size) as bigint)"))
+    p = p.withColumn("slots", F.expr(f"passes * blocks + cast(ceil(rest / {block}) as bigint)"))
+    p = p.withColumn("_all", F.sum("slots").over(Window.partitionBy()))
+    p = p.where("slots > 0").withColumn("chunk", F.explode(F.expr("sequence(0L, (slots - 1) div 65536)")))
+    p = p.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "chunk")
+    return p.withColumn("slot", F.explode(F.expr("sequence(chunk * 65536, least(slots, (chunk + 1) * 65536) - 1)")))
+
+
 def block_slots(plan: DataFrame, block: int = 64, per_shard: int = 4096, seed: int = 7) -> DataFrame:
     """The mix, a row for each block it takes: number, index (of the block in its source), words, shard, place.
 
@@ -77,14 +89,7 @@ def block_slots(plan: DataFrame, block: int = 64, per_shard: int = 4096, seed: i
     that a hash names, which draws the shards' source counts multinomially, given the sources' totals; place orders a
     shard. Slots are made from chunks of at most 65,536, dealt to all tasks, so a large source isn't one task.
     """
-    p = plan.where("source_size > 0").withColumn("blocks", F.expr(f"cast(ceil(source_size / {block}) as bigint)"))
-    p = p.withColumn("passes", F.expr("cast(floor(target / source_size) as bigint)"))
-    p = p.withColumn("rest", F.expr("cast(round(target - passes * source_size) as bigint)"))
-    p = p.withColumn("slots", F.expr(f"passes * blocks + cast(ceil(rest / {block}) as bigint)"))
-    p = p.withColumn("shards", F.ceil(F.sum("slots").over(Window.partitionBy()) / per_shard))
-    p = p.where("slots > 0").withColumn("chunk", F.explode(F.expr("sequence(0L, (slots - 1) div 65536)")))
-    p = p.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "number", "chunk")
-    p = p.withColumn("slot", F.explode(F.expr("sequence(chunk * 65536, least(slots, (chunk + 1) * 65536) - 1)")))
+    p = _slots(plan, block).withColumn("shards", F.ceil(F.col("_all") / per_shard))
     p = p.withColumn("_x", F.expr("slot % blocks")).withColumn("index", F.expr(permuted("_x", "blocks", "number", seed)))
     words = F.expr(f"if(slot < passes * blocks, {block}L, least({block}L, rest - (slot - passes * blocks) * {block}))")
     place = F.xxhash64(F.lit(seed + 1), "number", "slot")
@@ -98,47 +103,77 @@ def block_pieces(placed: DataFrame, block: int = 64) -> DataFrame:
                     F.expr(f"least(start + size, (index + 1) * {block}) - greatest(start, index * {block})").alias("n"))
 
 
-def _uses(slots: DataFrame, block: int) -> DataFrame:
-    """How often the mix takes each block. It grows with the input, but the optimizer takes it for as small as the plan that
-    it is made from, so it is never to be broadcast."""
-    return slots.groupBy(F.col("number").alias("_n"), F.col("index").alias("_i")).agg(
-        F.count(F.when(F.col("words") >= block, 1)).alias("full"), F.max(F.when(F.col("words") < block, F.col("words")).otherwise(0)).alias("part")).hint("merge")
+def mixed_blocks(placed: DataFrame, plan: DataFrame, block: int = 64, seed: int = 7) -> DataFrame:
+    """The mix itself, blocks joined by index: shard, place (its order there), and of each slot the parts of documents: _row,
+    at (its first word in the block) and words.
+
+    Slots grow with the input, but the optimizer takes them for as small as the plan that they are made from, so they are
+    never to be broadcast.
+    """
+    slots = block_slots(plan, block, seed=seed).select(F.col("number").alias("_n"), F.col("index").alias("_i"), F.col("words").alias("_words"), "shard", "place")
+    met = block_pieces(placed, block).join(slots.hint("merge"), (F.col("number") == F.col("_n")) & (F.col("index") == F.col("_i")))
+    # a cut slot takes a block's first words
+    return met.select("shard", "place", "_row", "index", "at", F.expr("least(at + n, _words) - at").alias("words")).where("words > 0")
+
+
+def shard_counts(plan: DataFrame, block: int = 64, per_shard: int = 4096, seed: int = 7) -> DataFrame:
+    """shard, number, slots, words: what each output shard draws from each source."""
+    return block_slots(plan, block, per_shard, seed).groupBy("shard", "number").agg(F.count("*").alias("slots"), F.sum("words").alias("words"))
 
 
 def mix(docs: DataFrame, block: int = 64, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) for each row.
+    """doc_id, size, source_size, target, taken (words that the mix takes, repeats counted) and first_shard (the least output
+    shard that takes some, null if none does) for each row.
 
     Blocks meet slots by source and index. A block is taken at most twice and a cut one in its first words, so no
     document exceeds twice its size, and a source misses its target by less than one block.
-    Null and empty texts have size 0 and are never taken; a null source is a source, the last; repeated rows are
-    documents of their own. The result depends on ids, texts and sources alone, so reruns agree.
+    Null and empty texts have size 0 and are never taken; a very long text is as many blocks as it needs; a null source is a
+    source, the last; repeated rows and null ids are documents of their own; other columns aren't read, whatever their names;
+    an empty table gives no rows. The result depends on ids, texts and sources alone, so reruns agree.
     """
     sizes = document_sizes(docs)
     plan = stash(source_targets(sizes))
-    placed = place_documents(sizes, plan)
-    placed = stash(placed)
-    met = block_pieces(placed, block).join(_uses(block_slots(plan, block, seed=seed), block), (F.col("number") == F.col("_n")) & (F.col("index") == F.col("_i")))
-    took = F.expr("full * n + greatest(0L, least(at + n, part) - at)")
-    taken = met.groupBy(F.col("_row").alias("_r")).agg(F.sum(took).alias("taken"))
+    placed = stash(place_documents(sizes, plan))
+    taken = mixed_blocks(placed, plan, block, seed).groupBy(F.col("_row").alias("_r")).agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"))
     d = placed.join(taken, F.col("_row") == F.col("_r"), "left")
-    return d.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return d.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
 
 
 def mix_rows(docs: DataFrame, block: int = 64, seed: int = 7) -> DataFrame:
-    """The rows of ``docs`` that the mix takes whole: each as often as the mix takes the word it begins with.
-
-    So a source's words come near its target, documents stay whole and appear at most twice. Documents without words
-    aren't taken.
+    """The rows of ``docs`` that fill each source's target, in whole documents but one a source.
+
+    A source's documents go through its permutation in the order of the blocks that they begin in: all of them as often as
+    the target holds the source whole, then those that fill the rest, the last cut after the words that are missing. So a
+    source's words are its target, rounded, also where a few very long documents hold most of it, and no document
+    is taken more than twice. Documents without words, null texts among them, aren't taken; a cut text keeps its white space,
+    and n_chars, if there is one, follows it; rows that are the same share a row's columns; null ids and sources are values
+    like others; an empty table gives no rows.
     """
     sizes = document_sizes(docs)
     plan = stash(source_targets(sizes))
     placed = stash(place_documents(sizes, plan))
-    first = placed.where("size > 0").select("doc_id", "_text", "number", F.expr(f"start div {block}").alias("index"), F.expr(f"start % {block}").alias("at"))
-    met = first.join(_uses(block_slots(plan, block, seed=seed), block), (F.col("number") == F.col("_n")) & (F.col("index") == F.col("_i")))
-    # repeated rows have one sum: which of them is taken doesn't matter
-    times = met.groupBy(F.col("doc_id").alias("_d"), F.col("_text").alias("_h"), F.col("number").alias("_m")).agg(
-        F.sum(F.col("full") + F.when(F.col("part") > F.col("at"), 1).otherwise(0)).alias("_times")).where("_times > 0")
+    once = plan.where("source_size > 0").withColumn("target", F.col("source_size").cast("double"))
+    slots = _slots(once, block).withColumn("index", F.expr(permuted("slot", "blocks", "number", seed))).select(F.col("number").alias("_n"), F.col("index").alias("_i"), "slot")
+    first = placed.where("size > 0").withColumn("index", F.expr(f"start div {block}"))
+    d = first.join(slots.hint("merge"), (F.col("number") == F.col("_n")) & (F.col("index") == F.col("_i"))).withColumn("_salt", F.expr("slot div 1024"))
+    by = Window.partitionBy("number").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy("number", "_salt").agg(F.sum("size").alias("_sum")).select(F.col("number").alias("_m"), F.col("_salt").alias("_s"), F.coalesce(F.sum("_sum").over(by), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("number", "_salt").orderBy("slot", "start").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, (F.col("number") == F.col("_m")) & (F.col("_salt") == F.col("_s")))
+    d = d.withColumn("_passes", F.expr("cast(floor(target / source_size) as int)"))
+    rest = F.expr("cast(round(target - _passes * source_size) as bigint)") - F.col("_before") - F.col("_in")
+    d = d.withColumn("_rest", F.least("size", F.greatest(F.lit(0).cast("long"), rest)))
+    d = d.withColumn("_take", F.explode(F.expr("concat(array_repeat(size, _passes), if(_rest > 0, array(_rest), cast(array() as array<bigint>)))")))
+    d = d.join(plan.select(F.col("number").alias("_p"), F.col("source").alias("_source")), F.col("number") == F.col("_p"))
+    d = d.select(F.col("doc_id").alias("_d"), F.col("_text").alias("_h"), "_source", "size", "_take")
     one = whole_rows(docs).withColumns({"_i": F.col("row.doc_id"), "_x": F.xxhash64("row.text"), "_s": F.col("row.source")}).dropDuplicates(["_i", "_x", "_s"])
-    times = times.join(plan.select(F.col("number").alias("_p"), F.col("source").alias("_source")), F.col("_m") == F.col("_p"))
-    out = one.join(times, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")) & F.col("_s").eqNullSafe(F.col("_source")))
-    return out.withColumn("_k", F.explode(F.expr("sequence(1L, _times)"))).select("row.*")
+    out = one.join(d, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")) & F.col("_s").eqNullSafe(F.col("_source")))
+    # pieces of a word and the white space after it
+    pieces = F.expr(r"split(regexp_replace(row.text, '^[\x20\x09-\x0D]+', ''), '(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])')")
+    text = F.when(F.col("_take") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("_take").cast("int")), ""))
+    out = out.withColumn("_cut", text)
+    made = {"text": F.col("_cut")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        made["n_chars"] = F.when(F.col("_take") == F.col("size"), F.col("row.n_chars")).otherwise(F.length("_cut")).cast(kind)
+    return out.select(*(made[c].alias(c) if c in made else F.col(f"row.`{c}`") for c in docs.columns))

@@ -51,8 +51,9 @@ def quality_rules(docs: DataFrame, host: str = "source", line_limit: int = 20, d
     A line, lower-cased and with its white space evened, is removed from a host's documents if more than ``line_limit``
     different texts of that host hold it; the host's first document (smallest doc_id) with that line keeps it. Copies
     of a text count as one document, so that a document isn't lost for having been copied. kept is false if base_failed, or if over
-    ``depleted_percent`` of the words stood in removed lines. A null host is a host of its own. Repeated rows are
-    judged alike; other columns, whatever their names, aren't read.
+    ``depleted_percent`` of the words stood in removed lines. A null host is a host of its own. Null and empty texts have no
+    words and fail; a very long text is judged whole; null ids are ids like others. Repeated rows are
+    judged alike; other columns, whatever their names, aren't read; an empty table gives no rows.
 
     Both sums over lines combine before they shuffle, so a line that every document holds is one row per task.
     """
