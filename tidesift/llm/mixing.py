@@ -169,7 +169,7 @@ def mix_rows(docs: DataFrame, block: int = 64, seed: int = 7) -> DataFrame:
     one = whole_rows(docs).withColumns({"_i": F.col("row.doc_id"), "_x": F.xxhash64("row.text"), "_s": F.col("row.source")}).dropDuplicates(["_i", "_x", "_s"])
     out = one.join(d, F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")) & F.col("_s").eqNullSafe(F.col("_source")))
     # pieces of a word and the white space after it
-    pieces = F.expr(r"split(regexp_replace(row.text, '^[\x20\x09-\x0D]+', ''), '(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])')")
+    pieces = F.expr(r"split(regexp_replace(row.text, '^[\\x20\\x09-\\x0D]+', ''), '(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])')")
     text = F.when(F.col("_take") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("_take").cast("int")), ""))
     out = out.withColumn("_cut", text)
     made = {"text": F.col("_cut")}
