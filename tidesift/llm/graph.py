@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .base import drop_stash, stash
@@ -19,12 +19,11 @@ def _large_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.where("v > u").join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), least
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    """Links a node and its smaller neighbours to the least of them; after a large star a node has few."""
-    by = Window.partitionBy("u")
-    d = links.withColumn("m", F.min("v").over(by)).withColumn("k", F.row_number().over(by.orderBy("v")))
-    own = F.when(F.col("k") == 1, F.array(F.struct("u", F.col("m").alias("v")))).otherwise(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-    return d.select(F.explode(own).alias("x")).select("x.u", "x.v").where("u <> v")
+def _small_star(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links a node and its smaller neighbours to the least of them; made as the large star is, so that a node with many is no one task."""
+    least = stash(links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m"))
+    others = links.join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return others.unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))), least
 
 
 def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -38,9 +37,13 @@ def connected_components(links: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         seen = Observation()
         stars, least = _large_star(now)
-        after = stash(_small_star(stars).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("sum")))
+        stars = stash(stars)
+        drop_stash(least)
+        closer, least = _small_star(stars)
+        after = stash(closer.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31))).alias("sum")))
         found = seen.get
         drop_stash(least)
+        drop_stash(stars)
         if old is not None:
             drop_stash(old)
         now = old = after
