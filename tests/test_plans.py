@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from tidesift import workload
 from tidesift.functions import predicates
-from tidesift.plans import costs, planner, sqltext, steps, tpch
+from tidesift.plans import costs, dags, planner, sqltext, steps, template, tpch
 
 
 def test_predicate_texts():
@@ -71,9 +71,28 @@ def test_scan_tasks_hold_each_group_once(seed):
 def test_join_tasks_lose_no_pair(seed):
     b, p = groups(40, seed), groups(60, seed + 100)
     want = {(x.rg_id, y.rg_id) for x in b for y in p if x.meets(y)}
-    for tasks in (planner.batch_pairs(planner.pair_by_range(b, p), 50), planner.split_island(b, p, 50, 5), planner.build_anchored(b, p, 50, 3, 10)):
+    for tasks in (planner.split_island(b, p, 50, 5), planner.build_anchored(b, p, 50, 3, 10)):
         assert {(x.rg_id, y.rg_id) for t in tasks for x in t.builds for y in t.probes if x.meets(y)} == want
-    assert planner.batch_pairs([]) == []
+
+
+@pytest.mark.parametrize("max_mb", [20, 120, 4000])
+def test_batched_pairs_keep_to_the_budget(spark, max_mb):
+    b, p = groups(40, 7), groups(60, 107)
+    pairs = [(x.path, x.rg_id, x.size_mb, y.path, y.rg_id, y.size_mb, y.lo) for x in b for y in p if x.meets(y)]
+    shape = "build_path string, build_rg int, build_mb double, probe_path string, probe_rg int, probe_mb double, probe_lo double"
+    found = planner.batch_pairs(spark.createDataFrame(pairs, shape), max_mb).collect()
+    assert sorted((r["build_rg"], r["probe_rg"]) for r in found) == sorted((x[1], x[4]) for x in pairs)
+    tasks = {}
+    for r in found:
+        builds, probes = tasks.setdefault(r["task"], ({}, {}))
+        builds[r["build_rg"]], probes[r["probe_rg"]] = r["build_mb"], r["probe_mb"]
+    budget = found[0]["budget"]
+    units = [sum(x[2] for x in pairs if x[4] == y.rg_id) + y.size_mb for y in p if any(x.meets(y) for x in b)]
+    assert budget == max_mb if sum(u > max_mb for u in units) <= 0.3 * len(units) else budget >= max_mb
+    for builds, probes in tasks.values():
+        room = max(budget - sum(probes.values()), 0.3 * budget)
+        assert sum(builds.values()) + sum(probes.values()) <= budget + 1e-6 or len(probes) == 1 and sum(builds.values()) <= room + max(builds.values())
+    assert planner.batch_pairs(spark.createDataFrame([], shape)).count() == 0
 
 
 def test_overlap_pairs_match_all_pairs(spark):
@@ -139,17 +158,56 @@ def test_results_do_not_depend_on_filters(spark, sf_dir):
     assert want and rows(workload.run_pipeline(spark, sf_dir)) == want == rows(workload.run_pipeline(spark, sf_dir, exact=False))
 
 
-def test_apply_plan_leaves_the_original():
-    import yaml
+def test_replanned_steps():
+    read = steps.read_pipeline(workload.pipeline(), price=1)
+    changed = {s.name: s for s in steps.replan(read, ["merge"], {"join": 9}, {"join": 3})}
+    assert "merge" not in changed and "merge" in {s.name for s in read}
+    assert changed["scan-lines"].deps == () and "filter_by_bf" not in changed["scan-lines"].params and "bf_column" not in changed["orders"].params
+    assert (changed["join"].max_size_mb, changed["join"].max_parallel) == (9, 3) and steps.left_to_spark(list(changed.values())) == {"join": ("max_size_mb", "max_parallel")}
+    for bad in ({"bf_off": ["nothing"]}, {"max_size_mb": {"nothing": 1}}):
+        with pytest.raises(ValueError):
+            steps.replan(read, **bad)
+
 
-    raw = {"steps": yaml.safe_load(workload.pipeline())}
-    changed = steps.apply_plan(raw, {"bf_off": ["merge"], "max_size_mb": {"join": 9}})
-    names = [s["name"] for s in changed["steps"]]
-    assert "merge" not in names and "merge" in [s["name"] for s in raw["steps"]]
-    by = {s["name"]: s for s in changed["steps"]}
-    assert "filter_by_bf" not in by["scan-lines"]["params"] and "bf_column" not in by["orders"]["params"] and by["join"]["max_size_mb"] == 9
+def test_templates():
+    text = "{% set k = 2 %}{% for x in range(k + 1) %}{% if x == 1 %}one{% elif x > 1 and not off %}{{ names[0] }}{% else %}-{% endif %},{% endfor %}{# gone #}{{ k if k in [1, 2] else 'no' }}"
+    assert template.render(text, off=False, names=["many"]) == "-,one,many,2" and template.render(text, off=True, names=[]) == "-,one,-,2"
+    assert template.render("{% if a %}{% for x in missing %}x{% endfor %}{% endif %}b", a=False) == "b" and template.render("{% for x in [] %}{{ y }}{% endfor %}") == ""
+    for bad in ("{{ a }}", "{{ open('x') }}", "{{ a.b }}", "{% if a %}", "{% endif %}", "{% for x in [1] %}", "{% odd %}", "{{ (lambda: 1)() }}"):
+        with pytest.raises((ValueError, SyntaxError)):
+            template.render(bad, **({"a": 1} if bad != "{{ a }}" else {}))
+
+
+@pytest.mark.parametrize("name", sorted(dags.TEMPLATES))
+def test_pipelines_of_the_suite(name):
+    plain, filtered = dags.pipeline(name, False), dags.pipeline(name)
+    assert not any(s.func == "merge_bf" for s in plain) and {s.name for s in plain} <= {s.name for s in filtered}
     with pytest.raises(ValueError):
-        steps.apply_plan(raw, {"bf_off": ["nothing"]})
+        dags.pipeline(name, odd="1")
+
+
+def test_suite_without_filters(spark, sf_dir):
+    for name in ("q3", "q9"):
+        assert rows(dags.run(spark, sf_dir, name, enable_bf=False)) == rows(dags.run(spark, sf_dir, name))
+
+
+def test_waves_follow_the_slots(spark):
+    rnd = random.Random(6)
+    tasks = [(run, s, k, float(k % 7), rnd.randrange(1, 9) * 65536) for run in (1, 2) for s in "ab" for k in range(25)]
+    constants = spark.createDataFrame([(s, 1 / 65536, 0.5, 0.25) for s in "ab"], "stage string, slope double, intercept double, disp double")
+    found = {(r["run"], r["stage"]): r["time"] for r in costs.waves(spark.createDataFrame(tasks, "run long, stage string, task long, start_s double, bytes_in long"), constants, 4).collect()}
+    for key, time in found.items():
+        own = [b / 65536 + 0.75 for *_, b in sorted((x for x in tasks if x[:2] == key), key=lambda x: (x[3], x[2]))]
+        assert time == pytest.approx(costs.makespan(own, 4))
+
+
+def test_overlap_by_spans_of_time(spark):
+    rnd = random.Random(9)
+    tasks = [(run, k, a := float(rnd.randrange(500)), a + rnd.choice([0.0, 0.5, 3.0, 90.0])) for run in (1, 2) for k in range(60)]
+    df = spark.createDataFrame(tasks, "run long, task long, start_s double, end_s double")
+    want = {(r, k): max(1, sum(x[2] < b and x[3] > a for x in tasks if x[0] == r)) for r, k, a, b in tasks}
+    for width in (1.0, 60.0, 1e6):
+        assert {(r["run"], r["task"]): r["k"] for r in costs.task_overlap(df, width_s=width).collect() if r["end_s"] > r["start_s"]} == {k: n for k, n in want.items() if next(x for x in tasks if x[:2] == k)[3] > next(x for x in tasks if x[:2] == k)[2]}
 
 
 @pytest.mark.parametrize("name", sorted(tpch.QUERIES))

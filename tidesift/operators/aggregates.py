@@ -24,8 +24,9 @@ def aggregate(df: DataFrame, keys: Sequence[str | Column] = (), having: str | Co
 
 
 def aggregate_bucketed(df: DataFrame, keys: Sequence[str], buckets: int, **sums: Column) -> DataFrame:
-    """Each hash bucket of the keys is a task of its own: one shuffle, which later joins on the keys can use."""
-    return df.repartition(buckets, *keys).groupBy(*keys).agg(*(c.alias(n) for n, c in sums.items()))
+    """Groups dealt out to hash buckets of the keys. Rows are aggregated in each task before any of them move, so a key that holds
+    a third of all rows sends a row a task; what is dealt out are groups."""
+    return aggregate(df, keys, **sums).repartition(buckets, *keys)
 
 
 def with_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
@@ -33,10 +34,16 @@ def with_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return df.withColumn("_bucket_id", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
-def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, sort_by: Sequence[str] = ()) -> None:
-    """Writes a folder for each bucket, each by one task, so that there are as many files as buckets."""
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int, sort_by: Sequence[str] = ()) -> DataFrame:
+    """Writes a folder for each bucket, each by one task, so that there are as many files as buckets. Gives back _bucket_id and
+    rows of each bucket, 0 for those that got none and so have no folder."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
     out = with_bucket(df, key, buckets).repartition(buckets, "_bucket_id")
-    (out.sortWithinPartitions("_bucket_id", *sort_by) if sort_by else out).write.partitionBy("_bucket_id").parquet(path)
+    counts = [F.count(F.when(F.col("_bucket_id") == k, 1)).alias(str(k)) for k in range(buckets)]
+    (out.sortWithinPartitions("_bucket_id", *sort_by) if sort_by else out).observe(seen, *counts).write.partitionBy("_bucket_id").parquet(path)
+    return df.sparkSession.createDataFrame([(k, seen.get[str(k)]) for k in range(buckets)], "_bucket_id int, rows long")
 
 
 def write_sorted(df: DataFrame, path: str, sort_by: Sequence[str] = (), parts: int | None = None, mode: str = "errorifexists") -> None:

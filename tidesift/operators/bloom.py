@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bits of one row of a filter's table, and those of a filter that may be sent to all tasks (16 MB).
+BITMAP, HELD_BITS = 32_768, 8 * 16 * 1024 * 1024
+
 
 @dataclass(frozen=True)
 class Sizing:
@@ -40,9 +43,13 @@ def integral(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
 
 
-def _positions(key: str | Column, size: Sizing) -> Column:
+def _position_list(key: str | Column, size: Sizing) -> list[Column]:
     key = (F.col(key) if isinstance(key, str) else key).cast("long")
-    return F.array(*(F.pmod(F.xxhash64(key, F.lit(i)), F.lit(size.bits).cast("long")) for i in range(size.hashes)))
+    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(size.bits).cast("long")) for i in range(size.hashes)]
+
+
+def _positions(key: str | Column, size: Sizing) -> Column:
+    return F.array(*_position_list(key, size))
 
 
 def build(df: DataFrame, key: str, size: Sizing) -> DataFrame:
@@ -63,12 +70,35 @@ def merge(*filters: DataFrame) -> DataFrame | None:
     return out.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
+def words_of(bloom: DataFrame, size: Sizing) -> DataFrame:
+    """One row with a filter's bits as 64-bit words, for a filter of at most HELD_BITS: the bit of place p at p - 1, that of 0 last.
+
+    Bitmaps number places from 1 on, in rows of BITMAP; only 0 stands in a row of its own.
+    """
+    import numpy as np
+
+    bits = np.zeros(-(-size.bits // BITMAP) * BITMAP // 8, np.uint8)
+    for r in bloom.collect():
+        if r["bucket"]:
+            bits[(r["bucket"] - 1) * BITMAP // 8 :][: BITMAP // 8] |= np.frombuffer(r["bits"], np.uint8)
+        else:
+            bits[(size.bits - 1) // 8] |= 1 << (size.bits - 1) % 8
+    return bloom.sparkSession.createDataFrame([(bits.view("<i8").tolist(),)], "words array<long>")
+
+
 def contains(df: DataFrame, key: str, bloom: DataFrame, size: Sizing, found: str = "found") -> DataFrame:
     """Adds whether the filter may hold a row's key; false for null.
 
-    Each of a key's k bits is looked up by an equi-join on the bitmap's bucket, on the distinct keys only. A bitmap has
-    a row for each 32,768 bits, so the join broadcasts it while it is small and shuffles it beyond.
+    A filter of at most HELD_BITS (its size is known before any row is read) goes to all tasks as one array, and a key's
+    bits are looked up in compiled code, the next only if the last was set: no row moves. A larger one stays a table:
+    each bit of the distinct keys is looked up by an equi-join on the bitmap's bucket.
     """
+    if size.bits <= HELD_BITS:
+        words = words_of(bloom, size).select("words").scalar()
+        hit = F.col(key).isNotNull()
+        for at in (F.pmod(p - 1, F.lit(size.bits).cast("long")) for p in _position_list(key, size)):
+            hit = hit & (F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return df.withColumn(found, F.coalesce(hit, F.lit(False)))
     keys = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct()
     at = keys.withColumn("_at", F.explode(_positions("_key", size))).withColumn("bucket", F.bitmap_bucket_number("_at"))
     bit = F.bitmap_bit_position("_at")
@@ -111,47 +141,102 @@ def false_positive_rate(probe: DataFrame, probe_key: str, build_side: DataFrame,
 
 
 class BloomBytes:
-    """A filter in memory, in a portable layout: a big-endian 32-bit count of hashes, then the bits."""
+    """A filter in memory, in a portable layout: a big-endian 32-bit count of hashes, then the bits.
+
+    A key's places are h + i * g for i from 0, with two mixes of the key, all keys of a batch at once.
+    """
+
+    def __init__(self, size: Sizing, bits: bytearray | bytes | None = None):
+        import numpy as np
 
-    def __init__(self, size: Sizing, bits: bytearray | None = None):
         if size.bits % 8:
             raise ValueError("bits must fill bytes")
         self.size = size
-        self.bits = bits if bits is not None else bytearray((size.bits + 7) // 8)
+        self.bits = np.frombuffer(bytes(bits), np.uint8).copy() if bits is not None else np.zeros(size.bits // 8, np.uint8)
+
+    def _at(self, keys):
+        import numpy as np
+
+        h, g = (_mixed(np.asarray(keys, np.int64).view(np.uint64), seed) for seed in (1, 2))
+        steps = np.arange(self.size.hashes, dtype=np.uint64)
+        return ((h[:, None] + steps * (g[:, None] | np.uint64(1))) % np.uint64(self.size.bits)).astype(np.int64)
+
+    def add_all(self, keys) -> None:
+        import numpy as np
 
-    def _at(self, key: int) -> list[int]:
-        import xxhash
+        at = self._at(keys).ravel()
+        np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
-        raw = key.to_bytes(8, "little", signed=True)
-        return [xxhash.xxh64_intdigest(raw, seed=i) % self.size.bits for i in range(self.size.hashes)]
+    def contains_all(self, keys):
+        at = self._at(keys)
+        return (self.bits[at >> 3] >> (at & 7) & 1).all(axis=1)
 
     def add(self, key: int) -> None:
-        for p in self._at(key):
-            self.bits[p >> 3] |= 1 << (p & 7)
+        self.add_all([key])
 
     def __contains__(self, key: int) -> bool:
-        return all(self.bits[p >> 3] >> (p & 7) & 1 for p in self._at(key))
+        return bool(self.contains_all([key])[0])
 
     def __or__(self, other: BloomBytes) -> BloomBytes:
         if self.size != other.size:
             raise ValueError("filters of different sizing can't be merged")
-        return BloomBytes(self.size, bytearray(a | b for a, b in zip(self.bits, other.bits, strict=True)))
+        return BloomBytes(self.size, (self.bits | other.bits).tobytes())
 
     def dump(self) -> bytes:
-        return self.size.hashes.to_bytes(4, "big") + bytes(self.bits)
+        return self.size.hashes.to_bytes(4, "big") + self.bits.tobytes()
 
     @staticmethod
     def load(raw: bytes) -> BloomBytes:
-        return BloomBytes(Sizing(8 * (len(raw) - 4), int.from_bytes(raw[:4], "big")), bytearray(raw[4:]))
+        return BloomBytes(Sizing(8 * (len(raw) - 4), int.from_bytes(raw[:4], "big")), raw[4:])
+
+
+def _mixed(keys, seed: int):
+    import numpy as np
+
+    z = keys + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def contains_udf(bloom: BloomBytes):
-    """A vectorised function over a column of keys, for a filter small enough to send along."""
+    """A vectorised function over a column of keys, for a filter small enough to send along; false for null."""
     raw = bloom.dump()
 
     @F.pandas_udf("boolean")
     def held(keys: pd.Series) -> pd.Series:
-        own = BloomBytes.load(raw)
-        return pd.Series([k is not None and k == k and int(k) in own for k in keys])
+        known = keys.notna()
+        return known & pd.Series(BloomBytes.load(raw).contains_all(keys.where(known, 0).astype("int64").to_numpy()), keys.index)
 
     return held
+
+
+def save_bytes(df: DataFrame, key: str, size: Sizing, path: str) -> None:
+    """A column's filter as a file of one row in the portable layout, replacing what is there: each task adds its rows to a
+    filter of its own, and these are merged."""
+    raw = BloomBytes(size).dump()
+
+    def each(batches):
+        import pyarrow as pa
+
+        own = BloomBytes.load(raw)
+        for batch in batches:
+            own.add_all(batch.column("k").to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array([own.dump()], pa.binary())], names=["filter"])
+
+    def merged(batches):
+        import pyarrow as pa
+
+        own = BloomBytes.load(raw)
+        for batch in batches:
+            for x in batch.column("filter").to_pylist():
+                own = own | BloomBytes.load(x)
+        yield pa.RecordBatch.from_arrays([pa.array([own.dump()], pa.binary())], names=["filter"])
+
+    parts = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k")).mapInArrow(each, "filter binary")
+    parts.coalesce(1).mapInArrow(merged, "filter binary").write.mode("overwrite").parquet(path)
+
+
+def load_bytes(spark, path: str) -> BloomBytes:
+    """The filter that ``save_bytes`` left."""
+    return BloomBytes.load(bytes(spark.read.parquet(path).first()["filter"]))

@@ -49,9 +49,32 @@ def join_pushdown(probe: DataFrame, build: DataFrame, probe_key: str, build_key:
     return join(within, build, condition, how)
 
 
+def key_spans(df: DataFrame, key: str, parts: int) -> list[tuple]:
+    """At most ``parts`` ranges (lo, hi) that hold all of a column's values and leave gaps between them out: the ends of as many
+    ranges of about equal rows. Only their ends reach the driver."""
+    ranges = df.select(F.col(key).alias("k")).where("k is not null").repartitionByRange(parts, "k")
+    ends = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    return sorted((r["lo"], r["hi"]) for r in ends.collect())
+
+
+def within(key: str, spans: Sequence[tuple]) -> Column:
+    """Whether a value is in one of the ranges: comparisons that a Parquet scan holds against each row group's statistics."""
+    found = F.lit(False)
+    for lo, hi in spans:
+        found = found | F.col(key).between(F.lit(lo), F.lit(hi))
+    return found
+
+
 def join_range(probe: DataFrame, build: DataFrame, key: str, parts: int, how: str = "inner") -> DataFrame:
-    """An equi-join of sides that are dealt out by ranges of the key, so that sorted outputs stay sorted by key."""
-    return probe.repartitionByRange(parts, key).join(build.hint("merge"), key, KINDS[how])
+    """A sort-merge join whose probe reads only the ranges of keys that the build side has.
+
+    The build side is cut into ``parts`` ranges of about equal rows, whose ends are looked up when the join is made; the probe's
+    scan skips row groups outside all of them, and rows in the gaps never reach the shuffle. Kinds that keep probe
+    rows without a match read the whole probe.
+    """
+    if how in ("inner", "left_semi"):
+        probe = probe.where(within(key, key_spans(build, key, parts)))
+    return probe.join(build.hint("merge"), key, KINDS[how])
 
 
 def choose_strategy(build_mb: float, threshold_mb: float = 100, force: str | None = None) -> str:

@@ -31,22 +31,25 @@ def measure(tasks: DataFrame) -> DataFrame:
         *(F.avg(c).alias(c) for c in mean), *(F.sum(c).alias(c) for c in total))
 
 
-def task_overlap(tasks: DataFrame, by: str = "run") -> DataFrame:
+def task_overlap(tasks: DataFrame, by: str = "run", width_s: float = 60.0) -> DataFrame:
     """Adds k, the tasks of the run (itself too) that were running at some time while this one was.
 
-    That is how many started before its end less how many had ended by its start. Both are ranks among the run's starts
-    and ends, so one window over events in order of time replaces comparing all pairs.
+    That is how many started before its end less how many had ended by its start: two ranks among the run's events in order of
+    time. Events are dealt out by spans of time, ranked within their span, and the spans' sums, one row each, are added on, so
+    a long run is many windows.
     """
     t = tasks.withColumn("_id", F.monotonically_increasing_id())
     # at one time: starts of others aren't before an end there, ends there are by a start
-    events = (
-        t.select(by, F.col("start_s").alias("at"), F.lit(2).alias("order"), F.lit(1).alias("s"), F.lit(0).alias("e"), F.lit(None).cast("long").alias("q"), F.lit("").alias("what"))
-        .unionByName(t.select(by, F.col("end_s").alias("at"), F.lit(0).alias("order"), F.lit(0).alias("s"), F.lit(1).alias("e"), F.lit(None).cast("long").alias("q"), F.lit("").alias("what")))
-        .unionByName(t.select(by, F.col("start_s").alias("at"), F.lit(1).alias("order"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.col("_id").alias("q"), F.lit("ended").alias("what")))
-        .unionByName(t.select(by, F.col("end_s").alias("at"), F.lit(1).alias("order"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.col("_id").alias("q"), F.lit("started").alias("what"))))
-    so_far = Window.partitionBy(by).orderBy("at", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    events = events.withColumn("_s", F.sum("s").over(so_far)).withColumn("_e", F.sum("e").over(so_far)).where("q is not null")
-    k = events.groupBy(F.col("q").alias("_q")).agg((F.max(F.when(F.col("what") == "started", F.col("_s"))) - F.max(F.when(F.col("what") == "ended", F.col("_e")))).alias("k"))
+    kinds = F.array(*(F.struct(F.col(at).alias("at"), F.lit(o).alias("order"), F.lit(s).alias("s"), F.lit(e).alias("e"), F.lit(w).alias("what")) for at, o, s, e, w in (
+        ("start_s", 2, 1, 0, None), ("end_s", 0, 0, 1, None), ("start_s", 1, 0, 0, "ended"), ("end_s", 1, 0, 0, "started"))))
+    events = t.select(by, F.col("_id").alias("q"), F.inline(kinds)).withColumn("_span", F.floor(F.col("at") / width_s))
+    before = Window.partitionBy(by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    sums = events.groupBy(by, "_span").agg(F.sum("s").alias("_s"), F.sum("e").alias("_e"))
+    sums = sums.select(F.col(by).alias("_by"), F.col("_span").alias("_at"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_s", "_e")))
+    so_far = Window.partitionBy(by, "_span").orderBy("at", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = events.withColumn("_s", F.sum("s").over(so_far)).withColumn("_e", F.sum("e").over(so_far)).where("what is not null")
+    events = events.join(sums, F.col(by).eqNullSafe(F.col("_by")) & F.col("_span").eqNullSafe(F.col("_at")))
+    k = events.groupBy(F.col("q").alias("_q")).agg((F.max(F.when(F.col("what") == "started", F.col("_s") + F.col("_s0"))) - F.max(F.when(F.col("what") == "ended", F.col("_e") + F.col("_e0")))).alias("k"))
     return t.join(k, F.col("_id") == F.col("_q")).drop("_id", "_q").withColumn("k", F.greatest("k", F.lit(1)))
 
 
@@ -104,15 +107,46 @@ def calibrate(tasks: DataFrame) -> DataFrame:
     return line.join(rest, "stage")
 
 
-def predict(tasks: DataFrame, constants: DataFrame, slots: int) -> DataFrame:
-    """run, stage, and by the model its longest task, billed seconds and time on so many slots.
+def predict(tasks: DataFrame, constants: DataFrame, slots: int, gamma: float = 0.0, store: tuple[float, float, float] | None = None) -> DataFrame:
+    """run, stage, and by the model its tasks, longest task, billed seconds, waves on so many slots, and time.
 
-    Tasks start in order as slots get free; the time can't be below the longest task nor the work shared by all slots.
+    A task takes its bytes' time, which tasks that run at once slow down by their number to the power ``gamma``, and its fixed
+    time. A stage takes its longest task, which lags by the constants' ``tail`` (if they have one), or its work
+    shared by the slots, or what the store's joint bandwidth allows (``store``: MB/s of one reader, peak and fall, as in
+    ``bandwidth``), whichever is most. ``waves`` follows tasks slot by slot where their order matters.
+    """
+    tail = F.col("tail") if "tail" in constants.columns else F.lit(0.0)
+    t = tasks.join(constants.select("stage", "slope", "intercept", F.col("disp").alias("disp0"), tail.alias("_tail")), "stage")
+    sizes = tasks.groupBy("run", "stage").agg(F.least(F.count("*"), F.lit(slots)).alias("_k"))
+    t = t.join(sizes.withColumnsRenamed({"run": "_r", "stage": "_t"}), F.expr("run = _r and stage = _t")) if gamma else t.withColumn("_k", F.lit(1))
+    t = t.withColumn("d", F.col("slope") * F.col("bytes_in") * F.pow("_k", F.lit(gamma)) + F.col("intercept") + F.col("disp0"))
+    s = t.groupBy("run", "stage").agg(F.count("*").alias("p"), F.max("d").alias("longest"), F.sum("d").alias("billed"), F.sum("bytes_in").alias("_bytes"), F.max("_tail").alias("_tail"))
+    busy = F.least(F.col("p"), F.lit(slots))
+    read = F.col("_bytes") / 1048576 / bandwidth(busy, *map(F.lit, store)) if store else F.lit(0.0)
+    time = F.greatest(F.col("longest") * (1 + F.col("_tail")), F.col("billed") / busy, read)
+    return s.select("run", "stage", "p", "longest", "billed", F.ceil(F.col("p") / slots).alias("waves"), time.alias("time"))
+
+
+def waves(tasks: DataFrame, constants: DataFrame, slots: int) -> DataFrame:
+    """run, stage, time: each stage's tasks by the model, in order of submission, each on the slot that is free first.
+
+    The order matters, so a stage of a run, which one scheduler held, is one fold.
     """
     t = tasks.join(constants.select("stage", "slope", "intercept", F.col("disp").alias("disp0")), "stage")
-    t = t.withColumn("d", F.col("slope") * F.col("bytes_in") + F.col("intercept") + F.col("disp0"))
-    s = t.groupBy("run", "stage").agg(F.count("*").alias("p"), F.max("d").alias("longest"), F.sum("d").alias("billed"))
-    return s.withColumn("time", F.greatest(F.col("longest"), F.col("billed") / F.least(F.col("p"), F.lit(slots))))
+    t = t.select("run", "stage", "start_s", "task", (F.col("slope") * F.col("bytes_in") + F.col("intercept") + F.col("disp0")).alias("d"))
+
+    def fold(key, frame):
+        import heapq as heap
+
+        import pandas as pd
+
+        ends = [0.0] * slots
+        for d in frame.sort_values(["start_s", "task"])["d"]:
+            heap.heapreplace(ends, ends[0] + d)
+        return pd.DataFrame([(*key, max(ends))], columns=["run", "stage", "time"])
+
+    kinds = {c: tasks.schema[c].dataType.simpleString() for c in ("run", "stage")}
+    return t.groupBy("run", "stage").applyInPandas(fold, f"run {kinds['run']}, stage {kinds['stage']}, time double")
 
 
 def makespan(durations: Iterable[float], slots: int | None) -> float:
@@ -205,6 +239,44 @@ def semijoin_share(rows_joined: float, rows_probe: float) -> float:
     return min(rows_joined / rows_probe, 1.0) if rows_probe else math.nan
 
 
+def semijoin_sigma(probe: DataFrame, probe_key: str, build: DataFrame, build_key: str, by: Iterable[str] = ()) -> DataFrame:
+    """rows, joined and sigma: the share of a relation's rows whose key the build side has, for all or by some columns."""
+    keys = build.select(F.col(build_key).alias("_k")).distinct().withColumn("_hit", F.lit(1))
+    met = probe.join(keys, F.col(probe_key) == F.col("_k"), "left")
+    return met.groupBy(*by).agg(F.count("*").alias("rows"), F.count("_hit").alias("joined")).withColumn("sigma", F.try_divide(F.col("joined").cast("double"), F.col("rows")))
+
+
+def subset_demand(filters: DataFrame, probes: DataFrame) -> DataFrame:
+    """subset (the bits of the filters that are on), demand and moved: what probes have left to read under each subset of filters.
+
+    filters: bit, stage, phi (the share that passes), bytes (of the filter). probes: stage, rows. The rows of a stage shrink by
+    the shares of all its filters that are on; each filter that is on costs its bytes. Filters are few: there are 2 ** n
+    subsets, made by one join with as many numbers.
+    """
+    spark = filters.sparkSession
+    n = filters.agg(F.max("bit")).first()[0]
+    subsets = spark.range(1 << (n + 1)).withColumnRenamed("id", "subset")
+    on = F.getbit("subset", F.col("bit").cast("int")) == 1
+    each = subsets.join(F.broadcast(filters), F.lit(True)).groupBy("subset", "stage").agg(
+        F.exp(F.sum(F.when(on, F.log(F.greatest("phi", F.lit(1e-12)))).otherwise(0.0))).alias("share"), F.sum(F.when(on, F.col("bytes")).otherwise(0)).alias("moved"))
+    met = each.join(probes, "stage")
+    return met.groupBy("subset").agg(F.sum(F.col("rows") * F.col("share")).alias("demand"), F.sum("moved").alias("moved"))
+
+
+def classify(steps: DataFrame) -> DataFrame:
+    """Adds kind: fixed, optimizable, bloom or both, as ``amdahl`` counts a step (func, builds_bloom, final_agg, base_scan)."""
+    f = F.col("func")
+    combine = (f == "aggregate") & ~F.col("final_agg")
+    kind = F.when((f == "merge_bf"), "bloom").when(combine & F.col("builds_bloom"), "both").when(combine | (f == "scan") & F.col("base_scan") | f.isin("broadcast_join", "hash_join", "range_join", "hash_partition"), "optimizable")
+    return steps.withColumn("kind", F.coalesce(kind, F.lit("fixed")))
+
+
+def resize_stages(stages: DataFrame, size_mb: float, new_size_mb: float) -> DataFrame:
+    """Adds tasks: a stage's at another task size, by its data (mb), its tasks (p) and how full these were."""
+    full = F.greatest(F.lit(1e-9), F.least(F.col("mb") / F.col("p"), F.lit(float(size_mb))) * (new_size_mb / size_mb))
+    return stages.withColumn("tasks", F.greatest(F.lit(1), F.ceil(F.col("mb") / full)))
+
+
 def bloom_report(builders: int, appliers: int, bits: int, elements: int, sigma: float, error_rate: float = 0.001) -> dict[str, float]:
     """What a filter passes (phi) and moves: requests, bytes, and its false-positive rate, by the usual formulas."""
     k = max(1, round(-math.log2(error_rate)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,25 +106,43 @@ def conflict_groups(build: DataFrame, probe: DataFrame) -> DataFrame:
     return both.withColumn("_s", sides).where("_s = 2").drop("_s")
 
 
+def text_tightness(groups: DataFrame, limit: float = 0.3) -> DataFrame:
+    """groups, overlapping, tight, for keys that have no distance: whether the share of pairs of ranges that overlap is under ``limit``.
+
+    In order of lo a range overlaps as many earlier ones as don't end before it: those that started less those that ended.
+    """
+    n = F.count("*")
+    starts = groups.select(F.col("lo").alias("at"), F.lit(1).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("order"))
+    ends = groups.select(F.col("hi").alias("at"), F.lit(0).alias("s"), F.lit(1).alias("e"), F.lit(1).alias("order"))
+    by = Window.orderBy("at", "order").rowsBetween(Window.unboundedPreceding, -1)
+    met = starts.unionByName(ends).withColumn("open", F.coalesce(F.sum(F.col("s") - F.col("e")).over(by), F.lit(0))).where("s = 1")
+    pairs = F.col("groups") * (F.col("groups") - 1) / 2
+    out = met.agg(n.alias("groups"), F.coalesce(F.sum("open"), F.lit(0)).alias("overlapping"))
+    return out.withColumn("tight", F.when(F.col("groups") < 2, F.col("groups") == 1).otherwise(F.col("overlapping") / pairs < limit))
+
+
 def sort_tightness(groups: DataFrame, limit: float = 0.2) -> DataFrame:
-    """groups, avg_span, global_span, tight: whether ranges span at most ``limit`` of the whole on average."""
+    """groups, avg_span, global_span, tight: whether ranges span at most ``limit`` of the whole on average. Keys that aren't numbers
+    go by ``text_tightness``."""
     s = groups.agg(F.count("*").alias("groups"), F.avg(F.col("hi") - F.col("lo")).alias("avg_span"), (F.max("hi") - F.min("lo")).alias("global_span"))
     tight = F.when(F.col("groups") < 2, F.col("groups") == 1).otherwise((F.col("global_span") > 0) & (F.col("avg_span") <= limit * F.col("global_span")))
     return s.withColumn("tight", tight)
 
 
 def skew_threshold(build: DataFrame, max_task_mb: float, parallel: int = 20, override: int | None = None) -> int:
-    """Build groups that a probe group may meet in one task: what half a task's size holds of large groups, at most
-    a share by parallelism, at least 5."""
+    """Build groups that a probe group may meet in one task, at least 5 where there are several: the lesser of two bounds.
+
+    by_size is how many large groups (the mean, or seven tenths of the 95th percentile) half a task's size holds; by_share
+    a group's share of the groups if a quarter of the tasks work at once. Without sizes it is 20.
+    """
     if override:
         return override
-    s = build.agg(F.count("*").alias("n"), F.avg(F.when(F.col("size_mb") > 0, F.col("size_mb"))).alias("mean"), F.percentile(F.when(F.col("size_mb") > 0, F.col("size_mb")), 0.95).alias("p95")).first()
-    if s["n"] < 2:
-        return max(1, s["n"])
-    if s["mean"] is None:
-        return 20
-    by_size = int(max_task_mb / 2 / max(s["mean"], 0.7 * s["p95"], 0.1))
-    return max(5, min(by_size, max(5, s["n"] // max(parallel // 4, 2))))
+    mb = F.when(F.col("size_mb") > 0, F.col("size_mb"))
+    s = build.agg(F.count("*").alias("n"), F.avg(mb).alias("mean"), F.percentile(mb, 0.95).alias("p95"))
+    by_size = F.floor(F.lit(max_task_mb / 2) / F.greatest("mean", 0.7 * F.col("p95"), F.lit(0.1)))
+    by_share = F.greatest(F.lit(5), F.floor(F.col("n") / max(parallel // 4, 2)))
+    bound = F.when(F.col("n") < 2, F.greatest(F.lit(1), "n")).when(F.col("mean").isNull(), 20).otherwise(F.greatest(F.lit(5), F.least(by_size, by_share)))
+    return int(s.select(bound.alias("bound")).first()["bound"])
 
 
 # ---------------------------------------------------------------- joins, as folds
@@ -160,32 +178,30 @@ def chunks(groups: Iterable[Group], max_mb: float, max_count: int | None = None)
     return [tuple(c) for c in out]
 
 
-def batch_pairs(pairs: list[tuple[Group, list[Group]]], max_mb: float = 50) -> list[JoinTask]:
-    """Pairs batched into tasks within a budget, the build groups of a batch once each.
+def batch_pairs(pairs: DataFrame, max_mb: float = 50) -> DataFrame:
+    """Tasks for pairs of overlapping groups (build_path, build_rg, build_mb, probe_path, probe_rg, probe_mb, probe_lo): adds task and budget.
 
-    Where over three tenths of the pairs exceed the budget it rises to 1.3 times their 90th percentile. A pair that
-    exceeds it still is split by build groups, smallest first.
+    A unit is a probe group with all build groups that it meets. The budget is ``max_mb``, or 1.3 times the units' 90th
+    percentile where that is more and over three tenths of the units exceed it. Units of up to half a budget, in key order, share a
+    task if they start in the same half budget of the running sum, so a task stays within the budget; larger ones are a task
+    each. A unit above the budget is cut by the running sum of its build groups, smallest first, at what room its probe group
+    leaves, three tenths of the budget at least. Row groups are few, so one window runs over all units.
     """
-    if not pairs:
-        return []
-    sizes = sorted(p.size_mb + sum(b.size_mb for b in bs) for p, bs in pairs)
-    if sum(s > max_mb for s in sizes) > 0.3 * len(sizes):
-        max_mb = max(max_mb, int(1.3 * sizes[int(0.9 * len(sizes))]))
-    tasks: list[JoinTask] = []
-    open_: JoinTask | None = None
-    used = 0.0
-    for p, bs in pairs:
-        size = p.size_mb + sum(b.size_mb for b in bs)
-        if open_ is not None and (size > max_mb or used + size > max_mb):
-            tasks.append(open_)
-            open_, used = None, 0.0
-        if size > max_mb:
-            tasks += [JoinTask(c, (p,)) for c in chunks(sorted(bs, key=lambda b: b.size_mb), max(max_mb - p.size_mb, 0.3 * max_mb))]
-            continue
-        known = open_ or JoinTask((), ())
-        open_ = replace(known, builds=tuple(dict.fromkeys((*known.builds, *bs))), probes=(*known.probes, p))
-        used += size
-    return [*tasks, *([open_] if open_ else [])]
+    unit = ["probe_path", "probe_rg"]
+    units = pairs.groupBy(*unit, "probe_mb", "probe_lo").agg((F.sum("build_mb") + F.col("probe_mb")).alias("mb"))
+    whole = units.agg(F.avg((F.col("mb") > max_mb).cast("int")).alias("over"), F.percentile("mb", 0.9).alias("p90"))
+    budget = F.when(F.col("over") > 0.3, F.greatest(F.lit(float(max_mb)), F.floor(1.3 * F.col("p90")).cast("double"))).otherwise(F.lit(float(max_mb)))
+    units = units.join(F.broadcast(whole.select(budget.alias("budget"))), F.lit(True))
+    half = F.when(2 * F.col("mb") <= F.col("budget"), F.col("mb")).otherwise(0.0)
+    before = Window.orderBy("probe_lo", *unit).rowsBetween(Window.unboundedPreceding, -1)
+    units = units.withColumn("_start", F.coalesce(F.sum(half).over(before), F.lit(0.0)))
+    shared = F.concat(F.lit("s"), F.floor(2 * F.col("_start") / F.col("budget")))
+    units = units.withColumn("_task", F.when(half > 0, shared).otherwise(F.concat_ws("/", F.lit("u"), *unit)))
+    out = pairs.join(units.select(*unit, "mb", "budget", "_task"), unit)
+    inner = Window.partitionBy(*unit).orderBy("build_mb", "build_path", "build_rg").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.greatest(F.col("budget") - F.col("probe_mb"), 0.3 * F.col("budget"))
+    part = F.floor(F.coalesce(F.sum("build_mb").over(inner), F.lit(0.0)) / room)
+    return out.withColumn("task", F.when(F.col("mb") > F.col("budget"), F.concat_ws("/", "_task", part)).otherwise(F.col("_task"))).drop("mb", "_task")
 
 
 def split_island(build: list[Group], probe: list[Group], max_mb: float = 50, max_builds: int = 20) -> list[JoinTask]:

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, field, replace
 from string import Template
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import bloom, joins
-from ..operators.aggregates import combine, with_bucket
+from ..operators.aggregates import combine, with_bucket, write_bucketed, write_sorted
+from .template import render
 
 
 @dataclass(frozen=True)
@@ -84,13 +85,6 @@ def value_of(name: str, value: Any) -> Any:
     return value
 
 
-def names_of(value: Any) -> tuple[str, ...]:
-    """A name, names or none of them."""
-    if value is None or value == {} or (isinstance(value, str) and value.strip().lower() in ("", "none")):
-        return ()
-    return (value,) if isinstance(value, str) else tuple(value)
-
-
 def read_step(raw: Mapping[str, Any]) -> Step:
     """A checked step; an unknown func, a missing or an unknown parameter is refused."""
     func, name = raw.get("func"), raw.get("name")
@@ -99,24 +93,27 @@ def read_step(raw: Mapping[str, Any]) -> Step:
     if func not in REQUIRED:
         raise ValueError(f"{name}: unknown func {func!r}; known: {', '.join(REQUIRED)}")
     params = {k: value_of(k, v) for k, v in (raw.get("params") or {}).items()}
+    before = raw.get("from_previous_task") or []
+    before = tuple(d for d in ([before] if isinstance(before, str) else before) if value_of("", d) is not None)
     if missing := [k for k in REQUIRED[func] if params.get(k) is None]:
         raise ValueError(f"{name}: {func} needs {', '.join(missing)}")
     if extra := set(params) - {*REQUIRED[func], *OPTIONAL[func]}:
         raise ValueError(f"{name}: {func} has no parameter {', '.join(sorted(extra))}")
     if params.get("join_type") and params["join_type"].replace(" ", "_") not in joins.KINDS:
         raise ValueError(f"{name}: join type {params['join_type']!r}")
-    return Step(name, func, names_of(raw.get("from_previous_task")), raw.get("input"), params, raw.get("max_size_mb"), raw.get("max_parallel"))
+    return Step(name, func, before, raw.get("input"), params, raw.get("max_size_mb"), raw.get("max_parallel"))
 
 
 def read_pipeline(text: str | list, **values: Any) -> list[Step]:
-    """Steps from YAML text or a list; $name in the text stands for a value, $random for a new word.
+    """Steps from YAML text or a list. The text is a template (``template.render``: conditions, loops, expressions of the values)
+    in which also $name stands for a value and $random for a new word.
 
     Steps may be under "steps". Two steps of a name, or one that needs a step it doesn't come after, are refused.
     """
     if isinstance(text, str):
         import yaml
 
-        text = yaml.safe_load(Template(text).safe_substitute(random=uuid.uuid4().hex[:8], **values))
+        text = yaml.safe_load(Template(render(text, **values)).safe_substitute(random=uuid.uuid4().hex[:8], **values))
     steps = [read_step(s) for s in (text.get("steps", []) if isinstance(text, Mapping) else text)]
     known: set[str] = set()
     for s in steps:
@@ -200,12 +197,11 @@ def compile_pipeline(spark: SparkSession, steps: list[Step], tables: Callable[[s
             out.frames[s.name] = sorted_by(s, sql(p["select"], p.get("sql_clauses"), df))
         elif s.func in ("aggregate", "hash_aggregate"):
             df = rows_of(s)
-            if s.func == "hash_aggregate" and p.get("hash_column"):
-                df = df.repartition(int(p.get("num_buckets") or 8), p["hash_column"])
+            # groups are made in each task first; what is dealt out by a column are their partial results
             if p.get("select"):
                 df = sql(p["select"], p.get("sql_clauses"), df)
-            if p.get("hash_column") and p.get("num_buckets") and s.func == "aggregate":
-                df = df.repartition(p["num_buckets"], p["hash_column"])
+            if p.get("hash_column") and p["hash_column"] in df.columns:
+                df = df.repartition(int(p.get("num_buckets") or 8), p["hash_column"])
             out.frames[s.name] = sorted_by(s, df)
             if p.get("bf_column"):
                 out.filters[s.name] = Bloom([(df, p["bf_column"])], bloom.Sizing.of(p.get("est_elements") or 1000, p.get("error_rate") or 0.001))
@@ -220,12 +216,14 @@ def compile_pipeline(spark: SparkSession, steps: list[Step], tables: Callable[[s
             df = rows_of(s)
             out.frames[s.name] = with_bucket(df, p["hash_column"], p["num_buckets"]).repartition(p["num_buckets"], "_bucket_id").drop("_bucket_id") if p.get("hash_column") else df
         elif s.func == "summary_clean":
-            continue  # nothing was written, so there is nothing to clean
+            continue  # nothing is written before write_outputs
         else:
             if len(s.deps) != 2:
                 raise ValueError(f"{s.name}: a join needs two steps, the build side and the probe side")
             build, probe = (relation(s, d) for d in s.deps)
             how = (p.get("join_type") or "inner").replace(" ", "_")
+            if s.func == "range_join" and how in ("inner", "left_semi"):
+                probe = probe.where(joins.within(p["probe_key"], joins.key_spans(build, p["build_key"], 8)))
             if s.func == "broadcast_join_pushdown" and how in ("inner", "left_semi"):
                 from pyspark.sql import functions as F
 
@@ -247,31 +245,57 @@ def compile_pipeline(spark: SparkSession, steps: list[Step], tables: Callable[[s
     return out
 
 
-def apply_plan(raw: dict, plan: Mapping[str, Any]) -> dict:
-    """A pipeline's dict changed by a plan: filters off (bf_off names merge steps), sizes and parallelism set.
+def replan(steps: list[Step], bf_off: Iterable[str] = (), max_size_mb: Mapping[str, float] | None = None, max_parallel: Mapping[str, int] | None = None) -> list[Step]:
+    """The steps under a plan: without the filters that the merge steps in ``bf_off`` make, and with other sizes.
+
+    A filter is an edge of the graph from the steps that build it through its merge step to those that read it, so the edge goes:
+    the merge step, what makes its builders build, and what makes its readers ask for it.
+    """
+    off, sizes = frozenset(bf_off), {"max_size_mb": max_size_mb or {}, "max_parallel": max_parallel or {}}
+    named = {s.name for s in steps}
+    if unknown := (off | {n for by in sizes.values() for n in by}) - named:
+        raise ValueError(f"no step {', '.join(sorted(unknown))}")
+    builders = {d for s in steps if s.name in off for d in s.deps}
+    out = []
+    for s in (s for s in steps if s.name not in off):
+        gone = (("bf_column", "bf_path", "est_elements") if s.name in builders else ()) + (("filter_by_bf", "bf_column") if off & set(s.deps) else ())
+        changed = {k: by[s.name] for k, by in sizes.items() if s.name in by}
+        out.append(replace(s, deps=tuple(d for d in s.deps if d not in off), params={k: v for k, v in s.params.items() if k not in gone}, **changed))
+    return out
+
+
+#: What tells an engine of functions how to cut work up. Spark's planner and adaptive execution decide that here, so these change
+#: no plan; ``left_to_spark`` says which a pipeline has.
+SCHEDULING = ("max_workers", "single_row_group_per_task", "skew_threshold", "max_files_per_task", "max_probe_files_per_task", "max_probe_row_groups_per_task", "max_build_file_ratio", "build_table_paths", "probe_table_paths", "folder_bf", "bf_path", "input_paths", "output_s3", "nfs_folder")
+
+
+def left_to_spark(steps: list[Step]) -> dict[str, tuple[str, ...]]:
+    """By step, the settings that are read and checked but that Spark decides itself."""
+    found = {s.name: tuple(k for k in (*SCHEDULING, "max_size_mb", "max_parallel") if s.params.get(k) is not None or k.startswith("max_") and getattr(s, k, None) is not None) for s in steps}
+    return {n: k for n, k in found.items() if k}
+
 
-    The merge step goes, those that built for it build no filter, those that read it read on without one.
+def write_outputs(pipeline: Pipeline, steps: list[Step], folder: str) -> dict[str, str]:
+    """Writes what steps name as output_file (partition_output_folder: by hash buckets) below a folder and gives back the paths.
+
+    single_file makes it one file; sort_by clusters it. A summary_clean step with is_delete removes what the steps before it
+    wrote, except paths that match exclude_patterns. Only the outputs asked for are computed.
     """
-    import copy
-
-    raw = copy.deepcopy(raw)
-    steps = {s["name"]: s for s in raw["steps"]}
-    for merge in plan.get("bf_off", ()):
-        if merge not in steps:
-            raise ValueError(f"no step {merge}")
-        builders = names_of(steps[merge].get("from_previous_task"))
-        for s in raw["steps"]:
-            params, deps = s.get("params") or {}, names_of(s.get("from_previous_task"))
-            unset = ("bf_column", "bf_path", "est_elements") if s["name"] in builders else ("filter_by_bf", "bf_column") if merge in deps else ()
-            for k in unset:
-                params.pop(k, None)
-            if merge in deps:
-                left = [d for d in deps if d != merge]
-                s.pop("from_previous_task")
-                if left:
-                    s["from_previous_task"] = left[0] if len(left) == 1 else left
-        raw["steps"].remove(steps.pop(merge))
-    for key in ("max_size_mb", "max_parallel"):
-        for name, value in plan.get(key, {}).items():
-            steps[name][key] = value
-    return raw
+    spark, written = pipeline.result.sparkSession, {}
+    for s in steps:
+        p = s.params
+        if s.func == "summary_clean":
+            if p.get("is_delete"):
+                from ..sources.catalog import folder_summary
+
+                for name in [n for n, path in written.items() if not any(re.search(x, path) for x in p.get("exclude_patterns") or ())]:
+                    folder_summary(spark, written.pop(name), delete=True)
+        elif s.name in pipeline.frames and (p.get("output_file") or p.get("partition_output_folder") or p.get("output_folder")):
+            path = f"{folder.rstrip('/')}/{p.get('partition_output_folder') or p.get('output_folder') or p['output_file']}"
+            df = pipeline.frames[s.name]
+            if p.get("hash_column") and p.get("num_buckets") and not p.get("single_file"):
+                write_bucketed(df, path, p["hash_column"], p["num_buckets"], p.get("sort_by") or ())
+            else:
+                write_sorted(df.coalesce(1) if p.get("single_file") else df, path, () if p.get("single_file") else p.get("sort_by") or ())
+            written[s.name] = path
+    return written

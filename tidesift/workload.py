@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .operators import aggregates as agg
 from .operators import bloom, joins
 from .operators.scan import empty_like, read_columns, referenced_columns, scan
-from .plans import costs, planner, sqltext, steps, tpch
+from .plans import costs, dags, planner, sqltext, steps, tpch
 from .session import register, table
 from .sources import catalog, text
 from .streaming import windows
@@ -46,7 +46,11 @@ def path(sf_dir: str, name: str) -> str:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder for written results: in the cluster's shared folder, a local one only where none is named."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"file://{tempfile.gettempdir()}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{top.rstrip('/')}/tidesift-{uuid.uuid4().hex}")
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return where.toString()
@@ -107,6 +111,14 @@ def sink_parquet(spark, sf):
     return scan(spark, out)
 
 
+@query("SELECT CAST(12 AS BIGINT) AS buckets, COUNT(*) AS rows, true AS told FROM orders WHERE o_orderstatus = 'P' AND o_custkey = (SELECT MIN(o_custkey) FROM orders WHERE o_orderstatus = 'P')")
+def sink_empty_buckets(spark, sf):
+    """One customer's orders fill one bucket of twelve; the others are told as empty."""
+    out, o = scratch(spark), scan(spark, path(sf, "orders"), select=["o_custkey", "o_orderkey"], where="o_orderstatus = 'P'")
+    told = agg.write_bucketed(o.where(F.col("o_custkey") == o.agg(F.min("o_custkey")).scalar()), out, "o_custkey", 12)
+    return told.agg(F.count("*").alias("buckets"), F.sum("rows").alias("rows"), (F.count(F.when(F.col("rows") == 0, 1)) == 11).alias("told"))
+
+
 @query("SELECT o_custkey, COUNT(*) AS orders, CAST(1 AS BIGINT) AS buckets FROM orders GROUP BY o_custkey")
 def sink_hash_bucketed(spark, sf):
     out = scratch(spark)
@@ -245,17 +257,18 @@ def ship(spark: SparkSession) -> None:
     context._tidesift_core = True
 
 
-RANGES = """SELECT 'f' || CAST({k} // {n} % 7 AS VARCHAR(9)) AS full_path, CAST({k} // {n} AS INT) AS rg_id, CAST(COUNT(*) AS DOUBLE) / {mb} AS size_mb,
-    COUNT(*) AS rows, CAST(MIN({k}) AS DOUBLE) AS lo, CAST(MAX({k}) AS DOUBLE) AS hi FROM {t} WHERE {k} % 4000 < 2500 GROUP BY {k} // {n}"""
+#: Row groups over all rows: every 2000 keys a gap of 1500 opens, so that ranges of keys make islands.
+_island = "CAST(FLOOR({k} / 2000.0) AS BIGINT)"
+_group = _island + " * 100 + CAST(FLOOR(({k} % 2000) / {n}.0) AS BIGINT)"
+RANGES = f"""SELECT 'f' || CAST(({_group}) % 7 AS VARCHAR(9)) AS full_path, CAST({_group} AS INT) AS rg_id, CAST(COUNT(*) AS DOUBLE) / {{mb}} AS size_mb,
+    COUNT(*) AS rows, CAST(MIN({{k}} + {_island} * 1500) AS DOUBLE) AS lo, CAST(MAX({{k}} + {_island} * 1500) AS DOUBLE) AS hi FROM {{t}} GROUP BY {_group}"""
 BUILD = RANGES.format(k="o_orderkey", n=300, t="orders", mb=64)
 PROBE = RANGES.format(k="l_orderkey", n=170, t="lineitem", mb=32)
 
 
 def ranges(spark: SparkSession, sf: str, text: str) -> DataFrame:
     register(spark, sf, ["orders", "lineitem"])
-    import re
-
-    return spark.sql(re.sub(r"(\w+) // (\d+)", r"(\1 div \2)", text))
+    return spark.sql(text)
 
 
 def groups_of(df: DataFrame) -> list[planner.Group]:
@@ -367,28 +380,43 @@ def rg_conflict_groups(spark, sf):
     return planner.conflict_groups(ranges(spark, sf, BUILD), ranges(spark, sf, PROBE)).select("side", "rg_id", "island")
 
 
-def task_rows(spark: SparkSession, tasks: list[planner.JoinTask]) -> DataFrame:
-    """probe_rg and its build groups over all tasks: tasks cover pairs, whatever their number."""
+def task_rows(spark: SparkSession, tasks: list[planner.JoinTask], fits: Callable[[planner.JoinTask], bool]) -> DataFrame:
+    """The pairs of build and probe groups that meet in any task, and whether all tasks keep to their limits."""
     rows = {(b.rg_id, p.rg_id) for t in tasks for b in t.builds for p in t.probes if b.meets(p)}
-    return spark.createDataFrame(sorted(rows), "build_rg int, probe_rg int")
+    kept = all(map(fits, tasks))
+    return spark.createDataFrame([(*x, kept) for x in sorted(rows)], "build_rg int, probe_rg int, fits boolean")
 
 
-_pairs = _oracles["rg_overlap_pairs"]
+_met = f"({BUILD}) b JOIN ({PROBE}) p ON b.lo <= p.hi AND p.lo <= b.hi"
+_fit_pairs = f"SELECT b.rg_id AS build_rg, p.rg_id AS probe_rg, true AS fits FROM {_met}"
 
 
-@query(_pairs)
+@query(f"""WITH m AS (SELECT b.rg_id AS build_rg, b.full_path AS build_path, b.size_mb AS build_mb, p.rg_id AS probe_rg, p.full_path AS probe_path, p.size_mb AS probe_mb, p.lo AS probe_lo FROM {_met}),
+u AS (SELECT probe_rg, probe_path, probe_mb, probe_lo, SUM(build_mb) + probe_mb AS mb FROM m GROUP BY 1, 2, 3, 4),
+w AS (SELECT CASE WHEN AVG(CASE WHEN mb > 20 THEN 1.0 ELSE 0.0 END) > 0.3 THEN GREATEST(20.0, FLOOR(1.3 * QUANTILE_CONT(mb, 0.9))) ELSE 20.0 END AS budget FROM u),
+h AS (SELECT u.*, budget, COALESCE(SUM(CASE WHEN 2 * mb <= budget THEN mb ELSE 0 END) OVER (ORDER BY probe_lo, probe_path, probe_rg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u, w),
+t AS (SELECT m.*, h.mb, h.budget, CASE WHEN 2 * h.mb <= h.budget THEN 's' || CAST(CAST(FLOOR(2 * start / h.budget) AS BIGINT) AS VARCHAR) ELSE 'u/' || m.probe_path || '/' || CAST(m.probe_rg AS VARCHAR) END AS unit,
+  FLOOR(COALESCE(SUM(build_mb) OVER (PARTITION BY m.probe_path, m.probe_rg ORDER BY build_mb, build_path, build_rg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / GREATEST(h.budget - m.probe_mb, 0.3 * h.budget)) AS part
+  FROM m JOIN h ON m.probe_rg = h.probe_rg AND m.probe_path = h.probe_path)
+SELECT build_rg, probe_rg, CASE WHEN mb > budget THEN unit || '/' || CAST(CAST(part AS BIGINT) AS VARCHAR) ELSE unit END AS task FROM t""")
 def rg_batch_pairs(spark, sf):
-    return task_rows(spark, planner.batch_pairs(planner.pair_by_range(groups_of(ranges(spark, sf, BUILD)), groups_of(ranges(spark, sf, PROBE))), 20))
+    b, p = ranges(spark, sf, BUILD), ranges(spark, sf, PROBE)
+    b, p = (x.select(F.col("full_path").alias(f"{n}_path"), F.col("rg_id").alias(f"{n}_rg"), F.col("size_mb").alias(f"{n}_mb"), F.col("lo").alias(f"{n}_lo")) for n, x in (("build", b), ("probe", p)))
+    pairs = planner.overlap_pairs(ranges(spark, sf, BUILD), ranges(spark, sf, PROBE)).join(b, ["build_path", "build_rg"]).join(p, ["probe_path", "probe_rg"])
+    return planner.batch_pairs(pairs, 20).select("build_rg", "probe_rg", "task")
 
 
-@query(_pairs)
+@query(_fit_pairs)
 def rg_split_group(spark, sf):
-    return task_rows(spark, planner.split_island(groups_of(ranges(spark, sf, BUILD)), groups_of(ranges(spark, sf, PROBE)), 30, 4))
+    tasks = planner.split_island(groups_of(ranges(spark, sf, BUILD)), groups_of(ranges(spark, sf, PROBE)), 30, 4)
+    room = lambda t: max(30 - sum(b.size_mb for b in t.builds), 9.0)
+    return task_rows(spark, tasks, lambda t: len(t.builds) <= 4 and (len(t.probes) == 1 or sum(p.size_mb for p in t.probes) <= room(t) + 1e-9))
 
 
-@query(_pairs)
+@query(_fit_pairs)
 def rg_build_anchored(spark, sf):
-    return task_rows(spark, planner.build_anchored(groups_of(ranges(spark, sf, BUILD)), groups_of(ranges(spark, sf, PROBE)), 50, 3, 20))
+    tasks = planner.build_anchored(groups_of(ranges(spark, sf, BUILD)), groups_of(ranges(spark, sf, PROBE)), 50, 3, 20)
+    return task_rows(spark, tasks, lambda t: len({b.path for b in t.builds}) == 1 and len(t.probes) <= 20 and len({p.path for p in t.probes}) <= 3)
 
 
 @query(f"SELECT COUNT(*) AS groups, ROUND(AVG(hi - lo), 6) AS avg_span, MAX(hi) - MIN(lo) AS global_span, AVG(hi - lo) <= 0.2 * (MAX(hi) - MIN(lo)) AS tight FROM ({BUILD}) t")
@@ -402,9 +430,19 @@ def skew_threshold(spark, sf):
     return spark.createDataFrame([(planner.skew_threshold(ranges(spark, sf, BUILD), 100),)], "threshold long")
 
 
-@query("SELECT * FROM (VALUES (1.0, 'broadcast'), (100.0, 'broadcast'), (100.5, 'range')) t(mb, strategy)".replace("1.0,", "CAST(1.0 AS DOUBLE),").replace("100.0,", "CAST(100.0 AS DOUBLE),").replace("100.5,", "CAST(100.5 AS DOUBLE),"))
+_mbs = " UNION ALL ".join(f"SELECT '{t}' AS name, CAST(COUNT(*) AS DOUBLE) / 4096 AS mb FROM {t}" for t in ("part", "orders", "lineitem"))
+
+
+@query(f"SELECT name, CASE WHEN mb <= 2.0 THEN 'broadcast' ELSE 'range' END AS strategy FROM ({_mbs}) t")
 def choose_join(spark, sf):
-    return spark.createDataFrame([(mb, joins.choose_strategy(mb)) for mb in (1.0, 100.0, 100.5)], "mb double, strategy string")
+    register(spark, sf, ["part", "orders", "lineitem"])
+    return spark.createDataFrame([(r["name"], joins.choose_strategy(r["mb"], 2.0)) for r in spark.sql(_mbs).collect()], "name string, strategy string")
+
+
+@query(f"""WITH g AS (SELECT *, ROW_NUMBER() OVER (ORDER BY lo) AS r FROM ({BUILD}) t)
+SELECT COUNT(*) AS groups, CAST(SUM(n) AS BIGINT) AS overlapping, COUNT(*) < 2 OR SUM(n) / (COUNT(*) * (COUNT(*) - 1) / 2) < 0.3 AS tight FROM (SELECT a.r, (SELECT COUNT(*) FROM g b WHERE b.r < a.r AND b.hi >= a.lo) AS n FROM g a) t""")
+def sort_tightness_text(spark, sf):
+    return planner.text_tightness(ranges(spark, sf, BUILD))
 
 
 @query(f"SELECT rg_id, rows FROM ({BUILD}) t")
@@ -448,8 +486,8 @@ def agg_combine(spark, sf):
     return agg.combine(*parts)
 
 
-query("SELECT c_custkey AS k FROM customer WHERE c_custkey < 50 UNION ALL SELECT s_suppkey FROM supplier", "set_union_all")(
-    lambda spark, sf: agg.combine(scan(spark, path(sf, "customer"), select=["c_custkey AS k"], where="c_custkey < 50"), scan(spark, path(sf, "supplier"), select=["s_suppkey AS k"])))
+query("SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier", "set_union_all")(
+    lambda spark, sf: agg.combine(scan(spark, path(sf, "customer"), select=["c_custkey AS k"]), scan(spark, path(sf, "supplier"), select=["s_suppkey AS k"])))
 
 
 def one(name: str, of: str, keys: list, sql: str, having: str | None = None, **sums: Callable[[], Column]) -> None:
@@ -501,7 +539,11 @@ def bloom_build(spark, sf):
     return bloom.contains(keys, "k", bloom.build(keys, "k", _size), _size)
 
 
-query(_oracles["bloom_build"], "agg_bloom_build")(bloom_build)
+@query("SELECT l_orderkey AS k, true AS found FROM lineitem GROUP BY l_orderkey HAVING SUM(CAST(l_quantity AS DECIMAL(12,2))) > 200")
+def agg_bloom_build(spark, sf):
+    """The groups of an aggregate and the filter of their keys."""
+    large = agg.aggregate(scan(spark, path(sf, "lineitem"), select=["l_orderkey AS k", "l_quantity"]), ["k"], "qty > 200", qty=agg.money_sum(d2("l_quantity"))).select("k")
+    return bloom.contains(large, "k", bloom.build(large, "k", _size), _size)
 
 
 @query(f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE {_rich})")
@@ -552,7 +594,14 @@ def bloom_python_udf(spark, sf):
     return scan(spark, path(sf, "nation"), select=["n_nationkey", "n_nationkey AS k"]).withColumn("found", bloom.contains_udf(bloom.BloomBytes.load(made.dump()))("k")).drop("k")
 
 
-query(_oracles["bloom_python_udf"], "bloom_load")(bloom_python_udf)
+@query(f"SELECT o_orderkey AS k, true AS found FROM orders WHERE {_rich}")
+def bloom_load(spark, sf):
+    """A filter saved over another one and loaded."""
+    ship(spark)
+    out, keys = scratch(spark), rich(spark, sf).select(F.col("o_orderkey").alias("k"))
+    for part in (keys.limit(1), keys):
+        bloom.save_bytes(part, "k", _size, out)
+    return keys.withColumn("found", bloom.contains_udf(bloom.load_bytes(spark, out))("k"))
 
 
 @query("SELECT COUNT(*) AS row_count, COUNT(DISTINCT o_custkey) AS distinct_count, true AS integral FROM orders")
@@ -636,11 +685,25 @@ def exact_constants(spark, sf) -> DataFrame:
 _modelled = f"SELECT run, stage, COUNT(*) AS p, MAX(bytes_in / 65536 + 0.75) AS longest, SUM(bytes_in / 65536 + 0.75) AS billed FROM ({LOG}) l GROUP BY run, stage"
 
 
-@query(f"SELECT run, stage, p, longest, billed, GREATEST(longest, billed / LEAST(p, 8)) AS time FROM ({_modelled}) m")
+@query(f"SELECT run, stage, p, longest, billed, CAST(CEIL(p / 8.0) AS BIGINT) AS waves, GREATEST(longest, billed / LEAST(p, 8)) AS time FROM ({_modelled}) m")
 def predict(spark, sf):
     return costs.predict(log(spark, sf), exact_constants(spark, sf), 8)
 
 
+@query(f"""SELECT run, stage, ROUND(GREATEST(longest * 1.25, billed / LEAST(p, 8), mb / LEAST(LEAST(p, 8) * 40.0, 250.0 / (1 + 0.02 * LEAST(p, 8)))), 6) AS time FROM (
+SELECT run, stage, p, mb, MAX(bytes_in / 65536 * SQRT(LEAST(p, 8)) + 0.75) AS longest, SUM(bytes_in / 65536 * SQRT(LEAST(p, 8)) + 0.75) AS billed
+FROM (SELECT *, COUNT(*) OVER (PARTITION BY run, stage) AS p, CAST(SUM(bytes_in) OVER (PARTITION BY run, stage) AS DOUBLE) / 1048576 AS mb FROM ({LOG}) l) t GROUP BY run, stage, p, mb) m""")
+def predict_store(spark, sf):
+    """With tasks that slow each other down, a lagging last task, and a store that all readers share."""
+    constants = exact_constants(spark, sf).withColumn("tail", F.lit(0.25))
+    return costs.predict(log(spark, sf), constants, 8, 0.5, (40.0, 250.0, 0.02)).select("run", "stage", F.round("time", 6).alias("time"))
+
+
+@query()
+def predict_waves(spark, sf):
+    return costs.waves(log(spark, sf), exact_constants(spark, sf), 8)
+
+
 @query(f"""SELECT m.run, ROUND(AVG(ABS(100 * (GREATEST(m.longest, m.billed / LEAST(m.p, 8)) - d.d_fn) / d.d_fn)), 6) AS mape
 FROM ({_modelled}) m JOIN ({_measure}) d ON m.run = d.run AND m.stage = d.stage GROUP BY m.run""")
 def accuracy(spark, sf):
@@ -744,36 +807,59 @@ def amdahl(spark, sf):
     return costs.amdahl(spark.sql(STEPS)).withColumns({c: F.round(c, 6) for c in ("fixed_s", "optimizable_s", "bloom_s")})
 
 
-query(_oracles["amdahl"], "step_classify")(amdahl)
+
+
+@query(f"""SELECT kind, COUNT(*) AS steps FROM (SELECT CASE WHEN func = 'merge_bf' THEN 'bloom' WHEN func = 'aggregate' AND NOT final_agg AND builds_bloom THEN 'both'
+WHEN func = 'aggregate' AND NOT final_agg OR func = 'scan' AND base_scan OR func = 'broadcast_join' THEN 'optimizable' ELSE 'fixed' END AS kind FROM ({STEPS}) s) t GROUP BY kind""")
+def step_classify(spark, sf):
+    register(spark, sf, ["events"])
+    return costs.classify(spark.sql(STEPS)).groupBy("kind").agg(F.count("*").alias("steps"))
+
+
 GRAPH = [costs.Stage("scan1"), costs.Stage("scan2"), costs.Stage("build", ("scan1",), "aggregate"), costs.Stage("filtered", ("build",)), costs.Stage("join", ("scan2", "filtered"), "broadcast_join")]
 
 
-@query(f"""WITH d AS (SELECT CAST(n_nationkey AS BIGINT) AS k, CAST(n_nationkey + 1 AS DOUBLE) AS t FROM nation WHERE n_nationkey < 5)
+@query(f"""WITH d AS (SELECT n_regionkey AS k, CAST(SUM(n_nationkey) AS DOUBLE) AS t FROM nation GROUP BY n_regionkey)
 SELECT MAX(CASE WHEN k = 0 THEN t END) + MAX(CASE WHEN k = 2 THEN t END) + MAX(CASE WHEN k = 3 THEN t END) + MAX(CASE WHEN k = 4 THEN t END) AS parallel, SUM(t) AS serial FROM d""")
 def critical_path(spark, sf):
-    n = {r["n_nationkey"]: r["n_nationkey"] + 1.0 for r in scan(spark, path(sf, "nation"), where="n_nationkey < 5").collect()}
+    n = {r["k"]: float(r["t"]) for r in agg.aggregate(scan(spark, path(sf, "nation")), [F.col("n_regionkey").alias("k")], t=F.sum("n_nationkey")).collect()}
     duration = {s.name: n[k] for k, s in enumerate(GRAPH)}
     return spark.createDataFrame([(costs.critical_path(GRAPH, duration)[0], costs.critical_path(GRAPH, duration, True)[0])], "parallel double, serial double")
 
 
-@query("SELECT * FROM (VALUES ('build'), ('filtered'), ('join'), ('scan1')) t(name)")
+#: Three filters, one for each of three stages of the log, with the share of rows that they pass.
+FILTERS = f"SELECT CAST(ROW_NUMBER() OVER (ORDER BY stage) - 1 AS BIGINT) AS bit, stage, CAST(SUM(rows_out) AS DOUBLE) / SUM(rows_in) AS phi, SUM(bytes_out) AS bytes FROM ({LOG}) l GROUP BY stage"
+PROBES = f"SELECT stage, SUM(rows_in) AS rows FROM ({LOG}) l GROUP BY stage"
+
+
+@query(f"""WITH f AS ({FILTERS}), p AS ({PROBES}), s AS (SELECT UNNEST(range(CAST(POW(2, (SELECT COUNT(*) FROM f)) AS BIGINT))) AS subset)
+SELECT subset, ROUND(SUM(rows * CASE WHEN (subset // CAST(POW(2, bit) AS BIGINT)) % 2 = 1 THEN phi ELSE 1 END), 3) AS demand, CAST(SUM(CASE WHEN (subset // CAST(POW(2, bit) AS BIGINT)) % 2 = 1 THEN bytes ELSE 0 END) AS BIGINT) AS moved
+FROM s, f JOIN p ON f.stage = p.stage GROUP BY subset""")
 def plan_bf_subset(spark, sf):
-    return spark.createDataFrame([(n,) for n in costs.reach(GRAPH, "scan1", down=True)], "name string")
+    register(spark, sf, ["events"])
+    return costs.subset_demand(spark.sql(FILTERS), spark.sql(PROBES)).withColumn("demand", F.round("demand", 3))
 
 
-@query("SELECT CAST(10 AS BIGINT) AS k, CAST(36 AS BIGINT) AS requests, CAST(0.25 AS DOUBLE) AS sigma, ROUND(0.25 + 0.75 * POW(1 - EXP(-10 * 1000.0 / 20000), 10), 9) AS phi FROM (SELECT 1) t")
+@query(f"""WITH c AS (SELECT COUNT(*) AS n FROM orders WHERE {_rich}), j AS (SELECT COUNT(*) AS rows, COUNT(o_orderkey) AS joined FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE {_rich}) o ON l_orderkey = o_orderkey)
+SELECT CAST(36 AS BIGINT) AS requests, ROUND(CAST(joined AS DOUBLE) / rows, 9) AS sigma, ROUND(CAST(joined AS DOUBLE) / rows + (1 - CAST(joined AS DOUBLE) / rows) * POW(1 - EXP(-10 * CAST(n AS DOUBLE) / 200000), 10), 9) AS phi FROM c, j""")
 def bf_report(spark, sf):
-    sigma = costs.semijoin_share(250, 1000)
-    r = costs.bloom_report(5, 25, 20_000, 1000, sigma)
-    return spark.createDataFrame([(r["k"], r["requests"], sigma, round(r["phi"], 9))], "k long, requests long, sigma double, phi double")
+    orders = rich(spark, sf)
+    sigma = costs.semijoin_sigma(scan(spark, path(sf, "lineitem"), select=["l_orderkey"]), "l_orderkey", orders, "o_orderkey").first()["sigma"]
+    r = costs.bloom_report(5, 25, 200_000, orders.count(), sigma)
+    return spark.createDataFrame([(r["requests"], round(sigma, 9), round(r["phi"], 9))], "requests long, sigma double, phi double")
 
 
-query(_oracles["bf_report"], "semijoin_sigma")(bf_report)
+@query(f"SELECT l_returnflag, COUNT(*) AS rows, COUNT(o_orderkey) AS joined, ROUND(CAST(COUNT(o_orderkey) AS DOUBLE) / COUNT(*), 9) AS sigma FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE {_rich}) o ON l_orderkey = o_orderkey GROUP BY l_returnflag")
+def semijoin_sigma(spark, sf):
+    l = scan(spark, path(sf, "lineitem"), select=["l_orderkey", "l_returnflag"])
+    return costs.semijoin_sigma(l, "l_orderkey", rich(spark, sf), "o_orderkey", ["l_returnflag"]).withColumn("sigma", F.round("sigma", 9))
 
 
-@query("SELECT CAST(10 AS BIGINT) AS tasks, CAST(20 AS BIGINT) AS smaller, CAST(5 AS BIGINT) AS larger FROM (SELECT 1) t")
+@query(f"""SELECT run, stage, CAST(GREATEST(1, CEIL(mb / GREATEST(1e-9, LEAST(mb / p, 50.0) * 0.5))) AS BIGINT) AS tasks
+FROM (SELECT run, stage, CAST(SUM(bytes_in) AS DOUBLE) / 1048576 AS mb, COUNT(*) AS p FROM ({LOG}) l GROUP BY run, stage) m""")
 def plan_resize(spark, sf):
-    return spark.createDataFrame([tuple(costs.resize(500, 10, 50, s) for s in (50, 25, 100))], "tasks long, smaller long, larger long")
+    m = costs.measure(log(spark, sf)).select("run", "stage", (F.col("bytes_in").cast("double") / 1048576).alias("mb"), "p")
+    return costs.resize_stages(m, 50, 25).select("run", "stage", "tasks")
 
 
 @query(f"""WITH c AS ({CURVES}), s AS (SELECT stage, size_mb, 0.5 * time / (SELECT SUM(time) FROM c WHERE size_mb = 50) + 0.5 * cost / (SELECT SUM(cost) FROM c WHERE size_mb = 50) AS score FROM c)
@@ -806,12 +892,8 @@ def pipeline(func: str = "broadcast_join") -> str:
 
 
 def run_pipeline(spark, sf, func: str = "broadcast_join", filters: bool = True, exact: bool = True, plan: dict | None = None) -> DataFrame:
-    text_ = pipeline(func)
-    if plan is not None:
-        import yaml
-
-        text_ = yaml.safe_dump(steps.apply_plan({"steps": yaml.safe_load(text_.replace("$price", "200000"))}, plan))
-    return steps.compile_pipeline(spark, steps.read_pipeline(text_, price=200000), lambda n: table(spark, sf, n), filters, exact).result
+    read = steps.read_pipeline(pipeline(func), price=200000)
+    return steps.compile_pipeline(spark, steps.replan(read, **plan) if plan else read, lambda n: table(spark, sf, n), filters, exact).result
 
 
 _piped = "SELECT o_custkey, CAST(SUM(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(38,4)) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 200000 AND l_discount > 0.05 GROUP BY o_custkey"
@@ -822,6 +904,20 @@ query(_piped, "steps_bitmap_filters")(functools.partial(run_pipeline, exact=Fals
 query(_piped, "plan_apply")(functools.partial(run_pipeline, plan={"bf_off": ["merge"], "max_size_mb": {"join": 100}, "max_parallel": {"join": 10}}))
 
 
+for _q in tpch.QUERIES:
+    query(tpch.render(_q), f"dag_{_q}")(functools.partial(dags.run, name=_q))
+
+
+@query(_piped)
+def steps_outputs(spark, sf):
+    """The steps' outputs written: buckets of a hash, one file, and a clean-up that spares one."""
+    text_ = pipeline().replace("output_file: o}", "output_file: o, sort_by: o_orderkey}").replace("output_file: r}", "output_file: r, single_file: true}").replace('is_delete: "false"', 'is_delete: "true", exclude_patterns: "/r$"')
+    read = steps.read_pipeline(text_, price=200000)
+    written = steps.write_outputs(steps.compile_pipeline(spark, read, lambda n: table(spark, sf, n)), read, scratch(spark))
+    assert list(written) == ["result"], written
+    return scan(spark, written["result"])
+
+
 @query("SELECT * FROM (VALUES ('q14', 'date', '1996-09-01'), ('q3', 'date', '1998-03-15'), ('q3', 'segment', 'BUILDING')) t(query, name, value)")
 def param_extract(spark, sf):
     rows = [(q, k, v) for q in ("q3", "q14") for k, v in sqltext.parameters_of(q, tpch.render(q)).items()]
