@@ -220,3 +220,39 @@ def test_parameters_are_found_again(name):
 def test_transpile():
     assert sqltext.transpile("select 1 from t where d < date '1998-12-01' - interval '90' day (3)\n;\n:n -1") == "select 1 from t where d < date '1998-12-01' - interval '90' day"
     assert sqltext.transpile("select a from t;\n:n 5").endswith("LIMIT 5")
+
+
+def test_rates_of_two_are_the_best_that_are_not_negative(spark):
+    rng = random.Random(5)
+    groups = {"both": (0.5, 2.0), "first": (3.0, -1.0), "second": (-2.0, 1.5), "none": (-1.0, -1.0)}
+    data = [(g, u, v, a * u + b * v + rng.gauss(0, 0.1)) for g, (a, b) in groups.items() for u, v in ((rng.random(), rng.random()) for _ in range(60))]
+    found = {r["g"]: r for r in costs.fit_pair(spark.createDataFrame(data, "g string, u double, v double, y double"), costs.F.col("u"), costs.F.col("v"), costs.F.col("y"), ["g"]).collect()}
+    for g in groups:
+        own = [d[1:] for d in data if d[0] == g]
+        loss = lambda a, b: sum((y - a * u - b * v) ** 2 for u, v, y in own)  # noqa: B023, E731
+        best = min(loss(a / 50, b / 50) for a in range(200) for b in range(200))
+        assert found[g]["a"] >= 0 and found[g]["b"] >= 0 and loss(found[g]["a"], found[g]["b"]) <= best + 1e-9, g
+    alike = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 4.0, 6.0), (None, 1.0, 1.0)], "u double, v double, y double")
+    r = costs.fit_pair(alike, costs.F.col("u"), costs.F.col("v"), costs.F.col("y")).first()
+    assert r["a"] >= 0 and r["b"] >= 0 and r["points"] == 2 and r["a"] + 2 * r["b"] == pytest.approx(3)
+    assert costs.fit_pair(alike.limit(0), costs.F.col("u"), costs.F.col("v"), costs.F.col("y"), ["y"]).count() == 0
+
+
+def test_pipeline_as_text_and_its_scenarios():
+    read = steps.read_pipeline(workload.pipeline("adaptive_join").replace("> $price", "> 1 AND '$' <> 'a: b'"))
+    assert steps.read_pipeline(steps.to_text(read)) == read
+    made = steps.scenarios(read, (2, 8), (12.5,))
+    assert set(made) == {"p2-s12.5", "p8-s12.5"}
+    for s in steps.read_pipeline(made["p8-s12.5"]):
+        assert (s.max_parallel, s.max_size_mb) == ((None, None) if s.func in ("merge_bf", "summary_clean") else (8, 12.5))
+
+
+def test_estimates_of_filters(spark, sf_dir):
+    read = steps.read_pipeline(workload.pipeline(), price=200000)
+    piped = steps.compile_pipeline(spark, read, lambda n: workload.table(spark, sf_dir, n))
+    keys = piped.frames["orders"].count()
+    told = {r["task"]: r["est_elements"] for r in steps.filter_estimates(piped).collect()}
+    assert set(told) == {"orders", "merge"} and 0.95 * keys / 0.9 - 5 <= told["orders"] <= 1.05 * keys / 0.9 + 5
+    again = {s.name: s.params.get("est_elements") for s in steps.with_estimates(read, told)}
+    assert again["orders"] == told["orders"] and again["scan-orders"] is None
+    assert steps.with_estimates(read, {"orders": None, "else": 5}) == read

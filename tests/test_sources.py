@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tidesift.plans import planner
-from tidesift.sources import catalog, text
+from tidesift.sources import catalog, results, text
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +78,21 @@ def test_run_logs(spark, tmp_path):
     (tmp_path / "step.json").write_text(json.dumps({"pipeline_execution_time_s": 1.5, "total_task": 2, "tasks": [{"name": "a", "time": 1.0}, {"name": "b", "time": 0.5}]}, indent=1))
     r = text.run_logs(spark, str(tmp_path / "step.json")).first()
     assert r["total_task"] == 2 and [t["name"] for t in r["tasks"]] == ["a", "b"] and r["file"].endswith("step.json")
+
+
+def test_runs_against_the_run_before(spark):
+    rows = [("s", "r1", "getobject", "b", 5.0), ("s", "r1", "putobject", "b", 7.0), ("s", "r2", "getobject", "b", 9.0), ("s", "r2", "deleteobject", "b", 2.0),
+            ("s", "r3", "getobject", "b", 1.0), ("s", "r3", "putobject", "b", 8.0), ("t", "r1", "getobject", "b", 4.0), ("s", "r2", "getobject", "b", 9.0)]
+    d = text.run_diffs(spark.createDataFrame(rows, "system string, run string, api string, bucket string, value double"))
+    # the counter gone in r2 starts from 0 in r3; the one that shrank was reset; t has one run
+    assert sorted(map(tuple, d.select("system", "run", "kind", "requests").collect())) == [
+        ("s", "r2", "delete", 2.0), ("s", "r2", "read", 4.0), ("s", "r2", "write", 0.0), ("s", "r3", "delete", 0.0), ("s", "r3", "read", 0.0), ("s", "r3", "write", 8.0)]
+
+
+def test_result_sinks(spark, tmp_path):
+    top = f"file://{tmp_path}"
+    for _ in range(2):
+        told = results.run_all(spark, {"ok": lambda: spark.range(3), "bad": lambda: spark.sql("select no_such_column")}, top)
+    assert {r["query"]: r["status"] for r in told.collect()} == {"ok": "OK", "bad": "failed: AnalysisException"}
+    assert spark.read.parquet(f"{top}/results/ok").count() == 3 and spark.read.json(f"{top}/summary").count() == 2
+    assert spark.read.option("header", "true").csv(f"{top}/timings").count() == 4

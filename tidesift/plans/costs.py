@@ -100,6 +100,32 @@ def fit_line(df: DataFrame, x: Column, y: Column, by: Iterable[str] = ()) -> Dat
     return s.select(*by, "points", slope.alias("slope"), intercept.alias("intercept"))
 
 
+def fit_pair(df: DataFrame, x1: Column, x2: Column, y: Column, by: Iterable[str] = ()) -> DataFrame:
+    """a and b, neither below 0, of the least squares of y = a * x1 + b * x2: exact, as with two unknowns the best is the free
+    solution or that of one of them alone. Only sums leave a task; what can't be told (no such rows, x in one proportion) is
+    left to the one that explains more. Rows with a null are no points."""
+    s = df.select(*by, x1.cast("double").alias("_u"), x2.cast("double").alias("_v"), y.cast("double").alias("_y")).dropna(subset=["_u", "_v", "_y"])
+    s = s.groupBy(*by).agg(F.count("*").alias("points"), *(F.sum(F.col(f"_{m}") * F.col(f"_{n}")).alias(f"_{m}{n}") for m, n in ("uu", "uv", "vv", "uy", "vy")))
+    det = F.expr("_uu * _vv - _uv * _uv")
+    whole = F.when(det > 1e-12 * F.col("_uu") * F.col("_vv"), det)  # null where both are one
+    s = s.withColumn("_a", F.try_divide(F.expr("_uy * _vv - _vy * _uv"), whole)).withColumn("_b", F.try_divide(F.expr("_vy * _uu - _uy * _uv"), whole))
+    alone = {m: F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col(f"_{m}y"), F.col(f"_{m}{m}")), F.lit(0.0))) for m in "uv"}
+    free, first = F.expr("_a >= 0 and _b >= 0"), alone["u"] * F.col("_uy") >= alone["v"] * F.col("_vy")
+    return s.select(*by, "points", F.when(free, F.col("_a")).when(first, alone["u"]).otherwise(0.0).alias("a"), F.when(free, F.col("_b")).when(first, 0.0).otherwise(alone["v"]).alias("b"))
+
+
+def rates(tasks: DataFrame) -> DataFrame:
+    """stage and its separate constants: seconds a request and a MB of reading and of writing, seconds of work a row, the
+    median dispatch, and the MB/s that one task in twenty gets beyond. Percentiles are Spark's approximate ones, of bounded size."""
+    mb = {c: F.col(c) / 1048576 for c in ("bytes_in", "bytes_out")}
+    read = fit_pair(tasks, F.col("req_in"), mb["bytes_in"], F.col("t_read"), ["stage"]).select("stage", "points", F.col("a").alias("read_request_s"), F.col("b").alias("read_mb_s"))
+    write = fit_pair(tasks, F.col("req_out"), mb["bytes_out"], F.col("t_write"), ["stage"]).select("stage", F.col("a").alias("write_request_s"), F.col("b").alias("write_mb_s"))
+    rows = F.col("rows_in").cast("double")
+    rest = tasks.groupBy("stage").agg(F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.sum(F.col("t_comp") * rows), F.sum(rows * rows)), F.lit(0.0))).alias("row_s"),
+                                      F.percentile_approx("disp", 0.5).alias("disp"), F.percentile_approx(F.try_divide(mb["bytes_in"], F.col("t_total")), 0.95).alias("mbps_p95"))
+    return read.join(write, "stage").join(rest, "stage")
+
+
 def calibrate(tasks: DataFrame) -> DataFrame:
     """stage and its seconds a byte and a task, its median dispatch, and how far its last task lags: the model's constants."""
     line = fit_line(tasks, F.col("bytes_in"), F.col("t_total"), ["stage"])

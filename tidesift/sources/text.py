@@ -46,6 +46,27 @@ def request_diff(before: DataFrame, after: DataFrame, bucket: str | None = None)
     return d.groupBy(request_kind().alias("kind")).agg(F.sum("grown").alias("requests"))
 
 
+def run_diffs(snapshots: DataFrame) -> DataFrame:
+    """system, run, kind, requests: what counters grew by since the run before of the same system.
+
+    snapshots: system, run, api, bucket, value, runs in order of their names. A system's first run has none before it and no
+    row; a counter that the run before lacks grew from 0. Only the list of runs is numbered in one window.
+    """
+    from pyspark.sql import Window
+
+    s = snapshots.groupBy("system", "run", "api", "bucket").agg(F.max("value").alias("value"))
+    order = Window.partitionBy("system").orderBy("run")
+    runs = s.select("system", "run").distinct().select("system", "run", F.lead("run").over(order).alias("_next"), F.lag("run").over(order).alias("_last"))
+    # each sample counts for its own run and is taken off in the next one; a counter that shrank was reset
+    t = s.join(runs, ["system", "run"])
+    sides = F.array(F.struct(F.when(F.col("_last").isNotNull(), F.col("run")).alias("at"), F.col("value").alias("now"), F.lit(None).cast("double").alias("was")),
+                    F.struct(F.col("_next").alias("at"), F.lit(None).cast("double").alias("now"), F.col("value").alias("was")))
+    t = t.select("system", "api", "bucket", F.inline(sides)).where("at is not null")
+    grown = t.groupBy("system", "at", "api", "bucket").agg(F.max("now").alias("now"), F.max("was").alias("was"))
+    grown = grown.withColumn("grown", F.greatest(F.lit(0.0), F.coalesce("now", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))
+    return grown.groupBy("system", F.col("at").alias("run"), request_kind().alias("kind")).agg(F.sum("grown").alias("requests"))
+
+
 def run_logs(spark: SparkSession, *paths: str) -> DataFrame:
     """Step logs of runs, nested tasks included, one row a step file."""
     return spark.read.option("multiLine", "true").json(list(paths)).withColumn("file", F.input_file_name())

@@ -19,7 +19,7 @@ from .operators import bloom, joins
 from .operators.scan import empty_like, read_columns, referenced_columns, scan
 from .plans import costs, dags, planner, sqltext, steps, tpch
 from .session import register, table
-from .sources import catalog, text
+from .sources import catalog, results, text
 from .streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +183,21 @@ def request_diff(spark, sf):
     return text.request_diff(snap("n_nationkey"), snap("n_nationkey + n_regionkey + 1"))
 
 
+SNAPSHOTS = """SELECT 's' || CAST(user_id % 2 AS VARCHAR(9)) AS system, CAST(user_id % 5 AS BIGINT) AS run,
+CASE event_type WHEN 'click' THEN 'getobject' WHEN 'view' THEN 'putobject' WHEN 'purchase' THEN 'headobject' ELSE 'deleteobject' END AS api, 'b' || CAST(event_id % 3 AS VARCHAR(9)) AS bucket, CAST(COUNT(*) AS DOUBLE) AS value FROM events GROUP BY 1, 2, 3, 4"""
+
+
+@query(f"""WITH s AS ({SNAPSHOTS}), r AS (SELECT system, run, LAG(run) OVER (PARTITION BY system ORDER BY run) AS last FROM (SELECT DISTINCT system, run FROM s) d),
+n AS (SELECT r.run AS at, s.* FROM r JOIN s ON r.system = s.system AND r.run = s.run WHERE r.last IS NOT NULL),
+w AS (SELECT r.run AS at, s.* FROM r JOIN s ON r.system = s.system AND r.last = s.run)
+SELECT system, run, kind, SUM(grown) AS requests FROM (SELECT COALESCE(n.system, w.system) AS system, COALESCE(n.at, w.at) AS run,
+CASE COALESCE(n.api, w.api) WHEN 'getobject' THEN 'read' WHEN 'putobject' THEN 'write' WHEN 'headobject' THEN 'metadata' ELSE 'delete' END AS kind, GREATEST(COALESCE(n.value, 0) - COALESCE(w.value, 0), 0) AS grown
+FROM n FULL JOIN w ON n.system = w.system AND n.at = w.at AND n.api = w.api AND n.bucket = w.bucket) g GROUP BY 1, 2, 3""")
+def request_diff_runs(spark, sf):
+    register(spark, sf, ["events"])
+    return text.run_diffs(spark.sql(SNAPSHOTS))
+
+
 # ---------------------------------------------------------------- projections and filters
 
 
@@ -673,6 +688,21 @@ def calibrate(spark, sf):
     return costs.calibrate(log(spark, sf)).select("stage", "points", F.round(F.col("slope") * 1e6, 4).alias("slope"))
 
 
+_sums = "SUM(u * u) AS uu, SUM(u * v) AS uv, SUM(v * v) AS vv, SUM(u * y) AS uy, SUM(v * y) AS vy"
+_pair = """SELECT stage, CASE WHEN a >= 0 AND b >= 0 THEN a WHEN uy > 0 AND uy * uy / uu >= GREATEST(vy, 0) * vy / vv THEN uy / uu ELSE 0 END AS a,
+CASE WHEN a >= 0 AND b >= 0 THEN b WHEN uy > 0 AND uy * uy / uu >= GREATEST(vy, 0) * vy / vv THEN 0 ELSE GREATEST(vy / vv, 0) END AS b
+FROM (SELECT *, (uy * vv - vy * uv) / (uu * vv - uv * uv) AS a, (vy * uu - uy * uv) / (uu * vv - uv * uv) AS b
+FROM (SELECT stage, {sums} FROM (SELECT stage, CAST({u} AS DOUBLE) AS u, CAST({v} AS DOUBLE) / 1048576 AS v, {y} AS y FROM ({log}) l) p GROUP BY stage) s) f"""
+
+
+@query(f"""SELECT r.stage, ROUND(r.a, 6) AS read_request_s, ROUND(r.b, 6) AS read_mb_s, ROUND(w.a, 6) AS write_request_s, ROUND(w.b, 6) AS write_mb_s, ROUND(row_s, 9) AS row_s, disp
+FROM ({_pair.format(sums=_sums, u="req_in", v="bytes_in", y="t_read", log=LOG)}) r JOIN ({_pair.format(sums=_sums, u="req_out", v="bytes_out", y="t_write", log=LOG)}) w ON r.stage = w.stage
+JOIN (SELECT stage, SUM(t_comp * rows_in) / SUM(CAST(rows_in AS DOUBLE) * rows_in) AS row_s, QUANTILE_DISC(disp, 0.5) AS disp FROM ({LOG}) l GROUP BY stage) c ON r.stage = c.stage""")
+def calibrate_rates(spark, sf):
+    r = costs.rates(log(spark, sf)).drop("points", "mbps_p95")
+    return r.withColumns({c: F.round(c, 9 if c == "row_s" else 6) for c in r.columns if c not in ("stage", "disp")})
+
+
 _billed = f"SELECT run, stage, COUNT(*) AS p, SUM(t_total) AS billed, MAX(t_total) AS longest, GREATEST(MAX(t_total), SUM(t_total) / LEAST(COUNT(*), 8)) AS time FROM ({LOG}) l GROUP BY run, stage"
 _exact = "CAST(0.0 AS DOUBLE)"
 
@@ -918,6 +948,34 @@ def steps_outputs(spark, sf):
     return scan(spark, written["result"])
 
 
+@query(_piped)
+def bloom_estimates(spark, sf):
+    """Filters sized by what those of an earlier run held, kept as a file between the two."""
+    read, out = steps.read_pipeline(pipeline(), price=200000), scratch(spark)
+    tables = lambda n: table(spark, sf, n)
+    steps.filter_estimates(steps.compile_pipeline(spark, read, tables)).write.json(out)
+    kept = {r["task"]: r["est_elements"] for r in spark.read.json(out).collect()}
+    assert set(kept) == {"orders", "merge"}, kept
+    return steps.compile_pipeline(spark, steps.with_estimates(read, kept), tables, exact=False).result
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS scenario, t.* FROM ({_piped}) t" for n in ("p10-s25", "p10-s50", "p20-s25", "p20-s50")))
+def scenario_templates(spark, sf):
+    made = steps.scenarios(steps.read_pipeline(pipeline(), price=200000), (10, 20), (25, 50))
+    runs = [steps.compile_pipeline(spark, steps.read_pipeline(x), lambda n: table(spark, sf, n)).result.select(F.lit(n).alias("scenario"), "*") for n, x in made.items()]
+    return agg.combine(*runs)
+
+
+@query(" UNION ALL ".join(f"SELECT '{q}' AS query, 'OK' AS status, COUNT(*) AS rows FROM ({tpch.render(q)}) t" for q in ("q1", "q6")))
+def result_sinks(spark, sf):
+    """Two queries of the suite written by the sinks, told by the appended timings and the written rows."""
+    out = scratch(spark)
+    results.run_all(spark, {q: functools.partial(tpch.run, spark, sf, name=q) for q in ("q1", "q6")}, out)
+    told = spark.read.option("header", "true").csv(f"{out}/timings")
+    rows = agg.combine(*(agg.aggregate(scan(spark, f"{out}/results/{q}"), rows=F.count("*")).withColumn("q", F.lit(q)) for q in ("q1", "q6")))
+    return told.join(rows, F.col("query") == F.col("q")).select("query", "status", "rows")
+
+
 @query("SELECT * FROM (VALUES ('q14', 'date', '1996-09-01'), ('q3', 'date', '1998-03-15'), ('q3', 'segment', 'BUILDING')) t(query, name, value)")
 def param_extract(spark, sf):
     rows = [(q, k, v) for q in ("q3", "q14") for k, v in sqltext.parameters_of(q, tpch.render(q)).items()]
