@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -732,6 +733,33 @@ def test_null_ids(spark):
 # ---------------------------------------------------------------- pipeline
 
 
+def test_pipeline_runs_whole_and_clears_what_it_stashed(spark):
+    shared = Path(base.shared_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("stash-*"))
+    found = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    left = set(shared.glob("stash-*")) - before
+    assert len(left) <= 2  # the mixed documents and their pieces
+    docs = base.read(spark, "/root/testdata/sf0.001", "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = base.stash(stage(spark, docs, ""))
+    want = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    check_packed(found, 4096)
+    pieces = [Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in x) for x in (found, want)]
+    assert pieces[0] == pieces[1] and len(pieces[0]) > 50
+
+
+def test_stages_drop_what_they_stash(spark):
+    made = []
+
+    def stage():
+        made.append(base.stash(spark.range(5)))
+        return made[0].where("id > 2")
+
+    out = base.stash_stage(stage)
+    gone, kept = (Path(x._stash.removeprefix("file:")) for x in (made[0], out))
+    assert not gone.exists() and kept.exists() and out.count() == 2
+
+
 def test_pipeline_stages(spark, odd):
     docs = base.read(spark, "/root/testdata/sf0.001", "documents")
     columns = docs.columns

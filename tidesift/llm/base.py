@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Words are what lies between these ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What has been stashed and not dropped, for each stage that is being written.
+_open: list[list[DataFrame]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it: cuts lineage, survives lost executors, is computed once.
 
-    The folder goes when the driver's JVM ends; ``drop`` removes it earlier.
+    The folder goes when the driver's JVM ends; ``drop_stash`` removes it earlier.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
@@ -42,6 +45,8 @@ def stash(df: DataFrame) -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
@@ -52,6 +57,18 @@ def drop_stash(df: DataFrame) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def stash_stage(make: Callable[[], DataFrame]) -> DataFrame:
+    """What a stage makes, as a stash; whatever it stashed on its way goes once that is written."""
+    _open.append([])
+    try:
+        out = stash(make())
+    finally:
+        made = _open.pop()
+    for df in made[:-1]:
+        drop_stash(df)
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Give the workers this package, once a context: they may lack the folder that the driver imports it from."""
     context = spark.sparkContext
