@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import id_text, stash, whole_rows
+from .base import drop_stash, id_text, stash, whole_rows
 from .graph import connected_components
 
 SHINGLE = 5
@@ -195,9 +195,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same_set = (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))
     keys = stash(band_keys(classes))
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("_key"), "least")
-    stars = keys.join(shared, F.col("key") == F.col("_key")).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    clusters = connected_components(stars).join(classes.select("node", "doc", "s1", "n"), "node")
-    links = cluster_links(id_text(docs), stash(clusters))
+    # few keys are shared; what the first round of the components reads more than once is written, the keys are not needed again
+    stars = stash(keys.join(shared, F.col("key") == F.col("_key")).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    drop_stash(keys)
+    clusters = stash(connected_components(stars).join(classes.select("node", "doc", "s1", "n"), "node"))
+    drop_stash(stars)
+    links = cluster_links(id_text(docs), clusters)
     # ids of several texts: their classes are linked as one document
     several = shown.groupBy(F.col("doc_id").alias("_d")).agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).where("lo <> hi and _d is not null").select("_d")
     several = shown.join(several, F.col("doc_id") == F.col("_d")).select("doc_id", "s1", "s2").distinct().join(named, same_set).select("doc_id", "node")
