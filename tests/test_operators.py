@@ -95,3 +95,13 @@ def test_bitmap_filter(spark):
     assert not empty.where("found").count()
     with pytest.raises(TypeError):
         bloom.build(keys.selectExpr("cast(k as string) as k"), "k", size)
+
+
+def test_elements_of_an_overfull_filter_are_counted(spark, sf_dir, monkeypatch):
+    from tidesift import workload
+
+    keys, size = spark.range(30_000).withColumnRenamed("id", "k"), bloom.Sizing.of(100, 0.01)
+    assert bloom.stats(bloom.build(keys, "k", size), size).first()["estimated_elements"] is None
+    assert bloom.held_elements(keys.union(keys), "k", size) == 30_000
+    monkeypatch.setattr(workload, "_size", size)
+    assert [r["near"] for r in workload.queries()["bloom_calibrate"](spark, sf_dir).collect()] == [True]

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bits of one row of a filter's table, and those of a filter that may be sent to all tasks (16 MB).
 BITMAP, HELD_BITS = 32_768, 8 * 16 * 1024 * 1024
+#: The share of set bits up to which these tell how many elements a filter holds; one sized for its elements has half of them set.
+TELLING = 0.9
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,11 @@ def integral(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
 
 
+def distinct_keys(df: DataFrame, key: str) -> int:
+    """How many elements a column's filter is of."""
+    return df.where(F.col(key).isNotNull()).select(key).distinct().count()
+
+
 def _position_list(key: str | Column, size: Sizing) -> list[Column]:
     key = (F.col(key) if isinstance(key, str) else key).cast("long")
     return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(size.bits).cast("long")) for i in range(size.hashes)]
@@ -126,6 +133,14 @@ def stats(bloom: DataFrame, size: Sizing, error_rate: float = 0.001) -> DataFram
     return s.withColumn("capacity_percent", 100 * F.col("estimated_elements") / F.lit(room))
 
 
+def held_elements(df: DataFrame, key: str, size: Sizing) -> float:
+    """The elements that a column's filter of a sizing holds: by its set bits, or counted where so many are set that they don't tell."""
+    told = stats(build(df, key, size), size).first()
+    if told["fill"] <= TELLING:
+        return told["estimated_elements"]
+    return float(distinct_keys(df, key))
+
+
 def calibrated_elements(estimated: float, fill_target: float = 0.9) -> int:
     """Elements to size the next filter for, so that it is filled to nine tenths."""
     return math.ceil(estimated / fill_target)

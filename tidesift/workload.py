@@ -589,7 +589,7 @@ def bloom_stats(spark, sf):
 @query(f"SELECT true AS near FROM (SELECT 1) t")
 def bloom_calibrate(spark, sf):
     r = rich(spark, sf)
-    found = bloom.stats(bloom.build(r, "o_orderkey", _size), _size).first()["estimated_elements"]
+    found = bloom.held_elements(r, "o_orderkey", _size)
     return spark.createDataFrame([(abs(bloom.calibrated_elements(found) * 0.9 - r.count()) <= 0.03 * r.count() + 5,)], "near boolean")
 
 
