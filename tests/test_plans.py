@@ -256,3 +256,13 @@ def test_estimates_of_filters(spark, sf_dir):
     again = {s.name: s.params.get("est_elements") for s in steps.with_estimates(read, told)}
     assert again["orders"] == told["orders"] and again["scan-orders"] is None
     assert steps.with_estimates(read, {"orders": None, "else": 5}) == read
+
+
+def test_estimates_of_overfull_filters(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(workload, "_pipe", workload._pipe.replace("est_elements: 5000", "est_elements: 10"))
+    read = steps.read_pipeline(workload.pipeline(), price=200000)
+    piped = steps.compile_pipeline(spark, read, lambda n: workload.table(spark, sf_dir, n))
+    keys = piped.frames["orders"].count()
+    told = {r["task"]: r["est_elements"] for r in steps.filter_estimates(piped).collect()}
+    assert set(told) == {"orders", "merge"} and all(abs(0.9 * n - keys) <= 1 for n in told.values())
+    assert rows(workload.queries()["bloom_estimates"](spark, sf_dir)) == rows(workload.queries()["steps_without_filters"](spark, sf_dir))

@@ -265,23 +265,20 @@ def replan(steps: list[Step], bf_off: Iterable[str] = (), max_size_mb: Mapping[s
 
 
 def filter_estimates(pipeline: Pipeline, fill_target: float = 0.9) -> DataFrame:
-    """task, est_elements: for each step that builds a filter of its own rows, the elements that its filter holds by its set bits,
+    """task, est_elements: for each step that builds a filter of its own rows, the elements that its filter holds (``bloom.held_elements``),
     so that one sized for them is filled to the target. Written as JSON, it serves ``with_estimates`` of later runs."""
-    from pyspark.sql import functions as F
-
     each = []
     for name, f in pipeline.filters.items():
         if len(f.parts) == 1:
             (keys, column), = f.parts
-            held = bloom.stats(bloom.build(keys, column, f.size), f.size)
-            each.append(held.select(F.lit(name).alias("task"), F.ceil(F.col("estimated_elements") / fill_target).alias("est_elements")))
+            each.append((name, bloom.calibrated_elements(bloom.held_elements(keys, column, f.size), fill_target)))
     if not each:
         raise ValueError("no step builds a filter")
-    return combine(*each)
+    return keys.sparkSession.createDataFrame(each, "task string, est_elements long")
 
 
 def with_estimates(steps: list[Step], estimates: Mapping[str, int | None]) -> list[Step]:
-    """The steps with est_elements as measured before; a step without a measure, or one that was full (None) or empty, keeps its own."""
+    """The steps with est_elements as measured before; a step without a measure, or one that was empty, keeps its own."""
     known = {s.name for s in steps if s.params.get("bf_column") and "est_elements" in (*REQUIRED[s.func], *OPTIONAL[s.func])}
     return [replace(s, params={**s.params, "est_elements": int(estimates[s.name])}) if s.name in known and estimates.get(s.name) else s for s in steps]
 
