@@ -105,3 +105,12 @@ def test_elements_of_an_overfull_filter_are_counted(spark, sf_dir, monkeypatch):
     assert bloom.held_elements(keys.union(keys), "k", size) == 30_000
     monkeypatch.setattr(workload, "_size", size)
     assert [r["near"] for r in workload.queries()["bloom_calibrate"](spark, sf_dir).collect()] == [True]
+
+
+def test_false_positives_stay_rare_however_many_keys(spark, sf_dir, monkeypatch):
+    from tidesift import workload
+
+    few = workload.rich(spark, sf_dir).select("o_orderkey")
+    monkeypatch.setattr(workload, "rich", lambda spark, sf: few.union(spark.range(10**9, 10**9 + 150_000)))
+    want = {r["l_orderkey"] for r in scan(spark, f"{sf_dir}/lineitem.parquet", select=["l_orderkey"]).collect()} - {r["o_orderkey"] for r in few.collect()}
+    assert [tuple(r) for r in workload.queries()["bloom_fpr"](spark, sf_dir).collect()] == [(len(want), True)]

@@ -50,6 +50,11 @@ def distinct_keys(df: DataFrame, key: str) -> int:
     return df.where(F.col(key).isNotNull()).select(key).distinct().count()
 
 
+def sized_for(df: DataFrame, key: str, error_rate: float = 0.001) -> Sizing:
+    """The least filter for a column's distinct values, counted first, so that the rate holds at any size."""
+    return Sizing.of(distinct_keys(df, key), error_rate)
+
+
 def _position_list(key: str | Column, size: Sizing) -> list[Column]:
     key = (F.col(key) if isinstance(key, str) else key).cast("long")
     return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(size.bits).cast("long")) for i in range(size.hashes)]

@@ -595,9 +595,8 @@ def bloom_calibrate(spark, sf):
 
 @query(f"SELECT COUNT(*) AS negatives, true AS low FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE {_rich})) t")
 def bloom_fpr(spark, sf):
-    l = scan(spark, path(sf, "lineitem"), select=["l_orderkey"])
-    size = bloom.Sizing.of(20_000, 0.01)
-    return bloom.false_positive_rate(l, "l_orderkey", rich(spark, sf), "o_orderkey", size).select("negatives", (F.col("rate") < 0.05).alias("low"))
+    l, r = scan(spark, path(sf, "lineitem"), select=["l_orderkey"]), rich(spark, sf)
+    return bloom.false_positive_rate(l, "l_orderkey", r, "o_orderkey", bloom.sized_for(r, "o_orderkey", 0.01)).select("negatives", (F.col("rate") < 0.05).alias("low"))
 
 
 @query("SELECT n_nationkey, n_nationkey % 3 = 0 AS found FROM nation")
