@@ -668,6 +668,49 @@ def test_line_templates_get_fields(spark):
             assert (said(i) in kept) == (i == 0) and got[i]["n_dropped"] == (2 if i else 0)
 
 
+def test_line_templates_at_any_size(spark, monkeypatch):
+    """A leaf of many lines is one, and no bound of blocks, buckets or keys changes a result."""
+    tail = "ended without any error in the log of the machine"
+    said = lambda i: f"the backup {'abcdefghij'[i] * 5} {'klmnopqrst'[i] * 4} of {tail}"
+    words = letters(9000, 3)
+    others = [f"the backup {' '.join(words[(k * 7 + j * (k + 1)) % 9000] for j in range(13))}" for k in range(2500)]
+    docs = [(100 + k, x) for k, x in enumerate(others)] + [(i, f"{said(i)}\n{' '.join(letters(30, 50 + i))}") for i in range(10)]
+    # two lines of a template, one in documents 5001 and 5002, one in 5001 and 5003: three documents
+    pair = [f"a record was {x} kept here for all who ask about it later" for x in ("never", "often")]
+    docs += [(5001, "\n".join(pair)), (5002, pair[0]), (5003, pair[1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one = {tuple(r) for r in linededup.dedup_lines(df.coalesce(1)).collect()}
+    got = {r[0]: r[1] for r in one}
+    for i in range(10):
+        assert (said(i) in got[i]) == (i == 0)
+    assert got[5001] == "\n".join(pair) and got[5002] == got[5003] == ""
+    monkeypatch.setattr(linededup, "BLOCK_CHARS", 30_000)
+    monkeypatch.setattr(linededup, "BUCKET_CHARS", 50_000)
+    monkeypatch.setattr(linededup, "SPREAD", 3)
+    assert {tuple(r) for r in linededup.dedup_lines(df.repartition(5)).collect()} == one
+
+
+def test_templates_grow_as_if_every_line_met_every_template():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        width, count = rng.integers(8, 65), rng.integers(2, 40)
+        signs = rng.integers(0, rng.choice([3, 20, 256]), (3, width)).astype(np.uint8)[rng.integers(0, 3, count)]
+        other = rng.random(signs.shape) < 0.5 * rng.random()
+        signs[other] = rng.integers(0, 256, other.sum())
+        templates, want = {}, []
+        for i, line in enumerate(signs):
+            same = {t: ((x == line) & (line != 0)).sum() for t, x in templates.items()}
+            best = max(same, key=lambda t: (same[t], -t), default=i)
+            if same.get(best, -1) >= linededup.ALIKE * width:
+                templates[best] = np.where(templates[best] == line, line, 0)
+            else:
+                best, templates[i] = i, line
+            want.append(best)
+        assert linededup.grow(signs).tolist() == want
+
+
 def test_passages_of_two_documents(spark):
     sentence = lambda k: " ".join(letters(14, 900 + k)) + "."
     passage = " ".join(sentence(k) for k in range(5))

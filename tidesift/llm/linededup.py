@@ -12,14 +12,16 @@ a bucket merges what all blocks ask and answers each of them, so a line in every
 from __future__ import annotations
 
 import itertools
+import math
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import drop_stash, stash, whole_rows
+from .base import stash, whole_rows
 from .lm import _mix, _pack, _unpack
 
 #: A token of one of these kinds is a field wherever it stands.
@@ -29,18 +31,14 @@ SENTENCE_END = re.compile(r"(?<=[.!?])(?=[ \t])")
 LEAD, GENERAL = 2, 8
 #: The share of a line's tokens that must agree with a template's, and how many places of a long line are compared.
 ALIKE, SIGNS = 0.7, 64
-#: Lines of a leaf that are held against each other; more are taken in runs, in the order of their tokens.
-LEAF = 2000
 #: Documents that a template must be found in before its lines go: few tokens recur by chance. A line or a run of sentences
 #: of PASSAGE tokens goes from two documents on.
 MOST, FEW_TOKENS, FEW_DOCS, PASSAGE = 3, 4, 10, 50
 #: Tokens of a sentence that is a unit.
 SENTENCE = 12
-#: Characters of a block of documents, those of all blocks for a bucket, and those that a task looks at for hot leaves.
-BLOCK_CHARS, BUCKET_CHARS, SAMPLE_CHARS = 8_000_000, 24_000_000, 1_000_000
-#: Lines that a leaf may be expected to have in one bucket; those of larger leaves are dealt out by two more leading tokens,
-#: and where that isn't enough by all their tokens.
-SPREAD = 200_000
+#: Characters of a block of documents and those of all blocks for a bucket, and keys of a leaf's lines that are sorted at once.
+#: No result depends on them.
+BLOCK_CHARS, BUCKET_CHARS, SPREAD = 8_000_000, 24_000_000, 200_000
 TASKS = 20_000
 
 
@@ -56,8 +54,8 @@ def spans(text: str):
 
 
 def parse(units: list[str]):
-    """For each unit: its tokens, tokens that are no fields, code, leaf, deeper leaf and signs (a byte for each place
-    compared, 0 for a field), as arrays; the signs one after the other."""
+    """For each unit: its tokens, tokens that are no fields, code, leaf and signs (a byte for each place compared, 0 for a
+    field), as arrays; the signs one after the other."""
     import numpy as np
     import xxhash
 
@@ -72,78 +70,104 @@ def parse(units: list[str]):
     tokens, first = kinds[at[real]], before[bounds[:-1]]
     place = np.arange(len(tokens)) - np.repeat(first, n)
     code = _mix(np.add.reduceat(_mix(tokens, place.astype(np.uint64)), first), n.astype(np.uint64))
-    lead = [np.where(n > k, tokens[np.minimum(first + k, len(tokens) - 1)], np.uint64(7)) for k in range(2 * LEAD)]
+    lead = [np.where(n > k, tokens[np.minimum(first + k, len(tokens) - 1)], np.uint64(7)) for k in range(LEAD)]
     leaf = n.astype(np.uint64)
-    for x in lead[:LEAD]:
+    for x in lead:
         leaf = _mix(leaf, x)
-    deep = leaf
-    for x in lead[LEAD:]:
-        deep = _mix(deep, x)
     shown = np.minimum(n, SIGNS)
     start = np.cumsum(shown) - shown
     of = np.repeat(np.arange(len(n)), shown)
     sign = tokens[first[of] + (np.arange(len(of)) - start[of]) * n[of] // shown[of]]
     sign = np.where(sign == 0, 0, (sign >> np.uint64(32)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return n, np.add.reduceat((tokens != 0).astype(np.int64), first), code, leaf, deep, sign, start
+    return n, np.add.reduceat((tokens != 0).astype(np.int64), first), code, leaf, sign, start
+
+
+def _shared_runs(signs, runs: int):
+    """line, key: which lines have a run of places in common with another, the places after LEAD cut into so many runs. A run
+    with a field is nobody's."""
+    import numpy as np
+
+    count, width = signs.shape
+    cuts = np.linspace(LEAD if width - LEAD >= runs else 0, width, runs + 1).astype(np.int64)
+    lines, keys, known, step = [], [], 0, max(1, SPREAD // count)
+    for a in range(0, runs, step):
+        first, end = cuts[a : min(a + step, runs)], cuts[a + 1 : min(a + step, runs) + 1]
+        key, whole = np.tile(np.arange(len(first), dtype=np.uint64), (count, 1)), np.ones((count, len(first)), bool)
+        for k in range(int((end - first).max())):
+            sign = signs[:, np.minimum(first + k, end - 1)]
+            key = key * np.uint64(257) + sign
+            whole &= sign != 0
+        key = _mix(key, np.arange(len(first), dtype=np.uint64))[whole]
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+        of = np.cumsum(new) - 1
+        some = np.bincount(of)[of] > 1 if len(key) else new
+        lines.append(np.nonzero(whole)[0][by][some])
+        keys.append(known + of[some])
+        known += len(key)
+    return np.concatenate(lines), np.concatenate(keys)
 
 
 def grow(signs, alike: float = ALIKE):
-    """The template that each line joins, lines in order: the one that agrees in most places, if these are enough, which
-    then has fields where the line differs; else one of its own."""
+    """The template that each line joins, by the number of its first line, lines in order: the one that agrees in most places, if
+    these are enough, which then has fields where the line differs; else one of its own.
+
+    The places are cut into one run more than may differ. A line that joins a template has then a whole run in common with
+    the template's first line, so only templates that share one are compared, and none is missed.
+    """
     import numpy as np
 
-    templates, joined = np.zeros_like(signs), np.zeros(len(signs), np.int64)
-    size = 0
-    for i, line in enumerate(signs):
-        same = ((templates[:size] == line) & (line != 0)).sum(axis=1) if size else ()
-        best = int(np.argmax(same)) if size else 0
-        if size and same[best] >= alike * len(line):
-            templates[best][templates[best] != line] = 0
-            joined[i] = best
-        else:
-            templates[size], joined[i] = line, size
-            size += 1
+    count, width = signs.shape
+    joined = np.arange(count)
+    lines, keys = _shared_runs(signs, width - math.ceil(alike * width) + 1)
+    if not len(lines):
+        return joined
+    templates, begun = signs.copy(), defaultdict(list)
+    by = np.argsort(lines, kind="stable")
+    lines, keys = lines[by], keys[by].tolist()
+    cuts = [0, *(np.flatnonzero(np.diff(lines)) + 1).tolist(), len(lines)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        i = int(lines[a])
+        line = signs[i]
+        near = np.array(sorted(set(itertools.chain.from_iterable(begun[k] for k in keys[a:b]))), np.int64)
+        if len(near):
+            same = ((templates[near] == line) & (line != 0)).sum(axis=1)
+            best = int(np.argmax(same))
+            if same[best] >= alike * width:
+                joined[i] = near[best]
+                templates[near[best]][templates[near[best]] != line] = 0
+                continue
+        for k in keys[a:b]:
+            begun[k].append(i)
     return joined
 
 
 ROWS = "block long, bucket long, n long, data binary, rows binary"
 
 
-def _route(code, leaf, deep, is_line, hot):
-    """What a unit's bucket is told from: a line that may join others its leaf, anything else its own code."""
+def _zigzag(ids):
+    """Signed ids as unsigned ones, small for small."""
     import numpy as np
 
-    if len(hot):
-        leaf = np.where(np.isin(leaf, hot), np.where(np.isin(deep, hot), code, deep), leaf)
-    return np.where(is_line, leaf, code)
+    return (ids.view(np.uint64) << np.uint64(1)) ^ (ids >> 63).view(np.uint64)
 
 
-def _hot_leaves(batches):
-    """Leaves and deeper leaves by their different lines in a task's first characters, and those characters."""
+def _signed(ids):
     import numpy as np
 
-    texts, chars = [], 0
-    for batch in batches:
-        for x in batch.column("text"):
-            texts.append(x.as_py())
-            chars += len(texts[-1])
-            if chars > SAMPLE_CHARS:
-                break
-        if chars > SAMPLE_CHARS:
-            break
-    units = [u for t in texts for _, k, u in spans(t) if k < 0]
-    rows = [(None, chars)]
-    if units:
-        n, _, code, leaf, deep, _, _ = parse(units)
-        one = np.unique(code, return_index=True)[1]
-        one = one[n[one] >= GENERAL]
-        for x in (leaf, deep):
-            kind, lines = np.unique(x[one], return_counts=True)
-            rows += [(int(k), int(c)) for k, c in zip(kind[lines > 50].view(np.int64), lines[lines > 50], strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["leaf", "lines"])
-
-
-def _blocks(block_chars: int, buckets: int, hot, schema_names: list[str]):
+    return (ids >> np.uint64(1)).view(np.int64) ^ -(ids & np.uint64(1)).view(np.int64)
+
+
+def _more_docs(is_line, number, min_docs: int):
+    """How many documents beyond its first a block names of a unit: with ``min_docs`` of each line, a template's documents are
+    counted exactly up to there, wherever the blocks' borders are."""
+    import numpy as np
+
+    return np.where(is_line > 0, np.minimum(number, max(1, min_docs)).astype(np.int64) - 1, 0)
+
+
+def _blocks(block_chars: int, buckets: int, min_docs: int, schema_names: list[str]):
     """A block's rows, with the units of each document and each unit's place among the distinct ones; and what it asks."""
 
     def each(batches):
@@ -167,7 +191,7 @@ def _blocks(block_chars: int, buckets: int, hot, schema_names: list[str]):
             rows = [(block, None, 0, _pack(np.array(count, np.uint64)) if count else None, sink.getvalue().to_pybytes())]
             at = np.zeros(0, np.int64)
             if units:
-                n, fixed, code, leaf, deep, sign, start = parse(units)
+                n, fixed, code, leaf, sign, start = parse(units)
                 is_line = np.array(lines) & (n >= GENERAL)
                 doc = np.repeat(np.array([0 if d is None else d for d in docs], np.int64), count)
                 able = np.flatnonzero(2 * fixed >= n)
@@ -180,7 +204,9 @@ def _blocks(block_chars: int, buckets: int, hot, schema_names: list[str]):
                 number = np.bincount(of[order][new], minlength=len(kinds))
                 head = np.searchsorted(of[order], np.arange(len(kinds)))
                 least, one = doc[able][order][head], able[one]
-                bucket = (_route(code[one], leaf[one], deep[one], is_line[one], hot.value) >> np.uint64(64 - buckets)).astype(np.int64)
+                held_docs, held_from = doc[able][order][new], np.cumsum(number) - number
+                # a line that may join others goes by its leaf, anything else by its own code
+                bucket = (np.where(is_line[one], leaf[one], code[one]) >> np.uint64(64 - buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 rank = np.empty(len(by), np.int64)
                 rank[by] = np.arange(len(by))
@@ -194,8 +220,11 @@ def _blocks(block_chars: int, buckets: int, hot, schema_names: list[str]):
                     u = one[some]
                     shown = np.where(is_line[u], np.minimum(n[u], SIGNS), 0)
                     signs = sign[np.repeat(start[u] - (np.cumsum(shown) - shown), shown) + np.arange(shown.sum())]
-                    data = _pack(np.diff(kinds[some], prepend=np.uint64(0)), leaf[u] >> np.uint64(24), n[u], is_line[u].astype(np.uint64), number[some], (least[some].view(np.uint64) << np.uint64(1)) ^ (least[some] >> 63).view(np.uint64))
-                    rows.append((block, int(bucket[some[0]]), b - a, len(data).to_bytes(8, "little") + data + pa.compress(signs.tobytes(), codec="zstd", asbytes=True), None))
+                    data = _pack(np.diff(kinds[some], prepend=np.uint64(0)), leaf[u] >> np.uint64(24), n[u], is_line[u].astype(np.uint64), number[some], _zigzag(least[some]))
+                    more = _more_docs(is_line[u], number[some], min_docs)
+                    next_docs = _zigzag(held_docs[np.repeat(held_from[some] + 1 - (np.cumsum(more) - more), more) + np.arange(more.sum())])
+                    docs_ = _pack(next_docs) if len(next_docs) else b""
+                    rows.append((block, int(bucket[some[0]]), b - a, len(data).to_bytes(8, "little") + data + len(docs_).to_bytes(8, "little") + docs_ + pa.compress(signs.tobytes(), codec="zstd", asbytes=True), None))
             rows[0] = (block, None, len(at), len(rows[0][3] or b"").to_bytes(8, "little") + (rows[0][3] or b"") + (_pack(at) if len(at) else b""), rows[0][4])
             return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[s : s + 500], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=schema_names) for s in range(0, len(rows), 500)]
 
@@ -234,16 +263,20 @@ def _judge(min_docs: int):
         import numpy as np
 
         for run in _runs(batches, "bucket"):
-            parts, signs = [], []
+            parts, signs, others = [], [], [np.zeros(0, np.uint64)]
             for r in run:
-                size = int.from_bytes(r["data"][:8], "little")
-                c = _unpack(r["data"][8 : 8 + size], r["n"], 6)
+                data = r["data"]
+                size = int.from_bytes(data[:8], "little")
+                c = _unpack(data[8 : 8 + size], r["n"], 6)
                 c[0] = np.cumsum(c[0], dtype=np.uint64)
                 parts.append(c)
+                at = 16 + size + int.from_bytes(data[8 + size : 16 + size], "little")
+                if at > 16 + size:
+                    others += _unpack(data[16 + size : at], int(_more_docs(c[3], c[4], min_docs).sum()), 1)
                 shown = int(np.where(c[3] > 0, np.minimum(c[2], SIGNS), 0).sum())
-                signs.append(np.frombuffer(pa.decompress(r["data"][8 + size :], shown, codec="zstd", asbytes=True), np.uint8))
+                signs.append(np.frombuffer(pa.decompress(data[at:], shown, codec="zstd", asbytes=True), np.uint8))
             name, leaf, n, is_line, number, least = (np.concatenate(x) for x in zip(*parts, strict=True))
-            least = (least >> np.uint64(1)).view(np.int64) ^ -(least & np.uint64(1)).view(np.int64)
+            least, others = _signed(least), _signed(np.concatenate(others))
             signs, n = np.concatenate(signs), n.astype(np.int64)
             shown = np.where(is_line > 0, np.minimum(n, SIGNS), 0)
             start = np.cumsum(shown) - shown
@@ -258,25 +291,24 @@ def _judge(min_docs: int):
             lines = lines[np.lexsort((kinds[lines], size[lines], leaf[one][lines]))]
             key = np.stack([leaf[one][lines], size[lines].astype(np.uint64)], 1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(lines)]
-            entries = np.argsort(of, kind="stable")
-            bounds = np.searchsorted(of[entries], np.arange(len(kinds) + 1))
+            met = np.concatenate([of, np.repeat(of, _more_docs(is_line, number, min_docs))])
+            by = np.argsort(met, kind="stable")
+            met_docs, bounds = np.concatenate([least, others])[by], np.searchsorted(met[by], np.arange(len(kinds) + 1))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a < 2:
                     continue
                 group = lines[a:b]
                 width = int(shown[one[group[0]]])
-                table = signs[start[one[group]][:, None] + np.arange(width)]
-                if len(group) > LEAF:
-                    by = np.lexsort(table.T[::-1])
-                    group, table = group[by], table[by]
-                for s in range(0, len(group), LEAF):
-                    joined = grow(table[s : s + LEAF])
-                    for t in np.flatnonzero(np.bincount(joined) > 1):
-                        own = group[s : s + LEAF][joined == t]
-                        # of a block's documents only the first is known, so these are at least so many
-                        seen = np.unique(np.concatenate([least[entries[bounds[k] : bounds[k + 1]]] for k in own]))
-                        if len(seen) >= needed(size[own[0]]):
-                            status[own], first[own] = 2, seen[0]
+                joined = grow(signs[start[one[group]][:, None] + np.arange(width)])
+                if (joined == np.arange(b - a)).all():
+                    continue
+                by = np.argsort(joined, kind="stable")
+                for own in np.split(group[by], np.flatnonzero(np.diff(joined[by])) + 1):
+                    if len(own) < 2:
+                        continue
+                    seen = np.unique(np.concatenate([met_docs[bounds[k] : bounds[k + 1]] for k in own]))
+                    if len(seen) >= needed(size[own[0]]):
+                        status[own], first[own] = 2, seen[0]
             rows, a = [], 0
             for r in run:
                 k = of[a : a + r["n"]]
@@ -384,21 +416,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = MOST) -> DataFrame:
     Null texts stay null, with no lines; blank lines and lines of rows without doc_id stay; very long texts are blocks of
     their own; repeated rows are treated alike; a clash with an added name replaces the column; an empty table gives no rows.
     """
-    import numpy as np
-
-    spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "n_cut")]
     d = whole_rows(docs.select(*(F.col(f"`{c}`") for c in own)))
     d = d.select("row", F.col("row.doc_id").cast("long").alias("_doc"), F.col("row.text").alias("_text"))
     chars = d.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    many = stash(d.where("_text is not null").select(F.col("_text").alias("text")).mapInArrow(_hot_leaves, "leaf long, lines long"))
-    seen = many.where("leaf is null").agg(F.sum("lines")).first()[0] or 1
-    rows = many.where("leaf is not null").groupBy("leaf").agg(F.sum("lines").alias("n")).where(F.col("n") * (chars / seen) > SPREAD).collect()
-    drop_stash(many)
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r["leaf"] for r in rows], np.int64).view(np.uint64)))
     buckets = max(1, (chars // BUCKET_CHARS).bit_length())
     names = [x.split()[0] for x in ROWS.split(", ")]
-    made = stash(d.mapInArrow(_blocks(BLOCK_CHARS, buckets, hot, names), ROWS))
+    made = stash(d.mapInArrow(_blocks(BLOCK_CHARS, buckets, min_docs, names), ROWS))
     asked = made.where("bucket is not null").drop("rows").repartition(min(TASKS, 2**buckets), "bucket").sortWithinPartitions("bucket", "block")
     answers = asked.withColumn("rows", F.lit(None).cast("binary")).mapInArrow(_judge(min_docs), ROWS)
     blocks = made.where("bucket is null")
