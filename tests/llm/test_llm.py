@@ -690,6 +690,13 @@ def test_line_templates_at_any_size(spark, monkeypatch):
     assert {tuple(r) for r in linededup.dedup_lines(df.repartition(5)).collect()} == one
 
 
+def test_pipeline_lines_go_alike_for_any_spread(spark, monkeypatch):
+    w = letters(200, 11)
+    df = spark.createDataFrame([(i, f"the backup {w[2 * i]} {w[2 * i + 1]} of the day ended without any error in the log of the machine") for i in range(80)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(linededup, "SPREAD", 3)
+    assert [r["doc_id"] for r in linededup.drop_recurring_lines(df).collect()] == [0]
+
+
 def test_templates_grow_as_if_every_line_met_every_template():
     import numpy as np
 
