@@ -697,6 +697,28 @@ def test_pipeline_lines_go_alike_for_any_spread(spark, monkeypatch):
     assert [r["doc_id"] for r in linededup.drop_recurring_lines(df).collect()] == [0]
 
 
+def test_pipeline_lines_of_repeated_rows_count_once_wherever_blocks_end(spark, monkeypatch):
+    """Rows of one document count once for a line, a short line and a passage, whether they share a block or not."""
+    line, short = "one line that two documents share and that is long enough", "see also here"
+    passage = " ".join(" ".join(letters(14, 700 + k)) + "." for k in range(5))
+    own = lambda k: "\n".join(" ".join(letters(12, 800 + 10 * k + j)) for j in range(9))
+    docs = [(1, f"{line}\n{own(k)}") for k in range(3)] + [(2, f"{own(3)}\n{line}")]
+    docs += [(k % 9 + 10, f"{own(4 + k)}\n{short}") for k in range(18)] + [(30, f"{own(30 + k)}\n{passage}") for k in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for more in ([], [(3, line), (19, short), (31, f"{passage}\n{own(40)}")]):
+        df = df.unionByName(spark.createDataFrame(more, df.schema))
+        one = sorted(tuple(r) for r in linededup.drop_recurring_lines(df.coalesce(1)).collect())
+        with monkeypatch.context() as m:
+            m.setattr(linededup, "BLOCK_CHARS", 200)
+            m.setattr(linededup, "BUCKET_CHARS", 300)
+            assert sorted(tuple(r) for r in linededup.drop_recurring_lines(df.repartition(7)).collect()) == one
+        if not more:
+            assert one == sorted(docs)
+        else:
+            # a third document, a tenth and a second: now each goes, but from its first
+            assert {d for d, t in one if line in t} == {1} and {d for d, t in one if short in t} == {10} and {d for d, t in one if passage in t} == {30}
+
+
 def test_templates_grow_as_if_every_line_met_every_template():
     import numpy as np
 

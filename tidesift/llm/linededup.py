@@ -159,12 +159,20 @@ def _signed(ids):
     return (ids >> np.uint64(1)).view(np.int64) ^ -(ids & np.uint64(1)).view(np.int64)
 
 
-def _more_docs(is_line, number, min_docs: int):
-    """How many documents beyond its first a block names of a unit: with ``min_docs`` of each line, a template's documents are
-    counted exactly up to there, wherever the blocks' borders are."""
+def _needed(n, min_docs: int):
+    """Documents that a template of n tokens must be found in."""
     import numpy as np
 
-    return np.where(is_line > 0, np.minimum(number, max(1, min_docs)).astype(np.int64) - 1, 0)
+    return np.where(n < FEW_TOKENS, max(FEW_DOCS, min_docs), min_docs)
+
+
+def _more_docs(n, number, min_docs: int):
+    """How many documents beyond its first a block names of a unit of n tokens that ``number`` of its documents hold. With as many
+    as a template needs, and two for a passage, different documents are counted exactly up to there, wherever the blocks'
+    borders are and however many rows of a document they part."""
+    import numpy as np
+
+    return np.minimum(number.astype(np.int64), np.maximum(_needed(n, min_docs), 2)) - 1
 
 
 def _blocks(block_chars: int, buckets: int, min_docs: int, schema_names: list[str]):
@@ -221,7 +229,7 @@ def _blocks(block_chars: int, buckets: int, min_docs: int, schema_names: list[st
                     shown = np.where(is_line[u], np.minimum(n[u], SIGNS), 0)
                     signs = sign[np.repeat(start[u] - (np.cumsum(shown) - shown), shown) + np.arange(shown.sum())]
                     data = _pack(np.diff(kinds[some], prepend=np.uint64(0)), leaf[u] >> np.uint64(24), n[u], is_line[u].astype(np.uint64), number[some], _zigzag(least[some]))
-                    more = _more_docs(is_line[u], number[some], min_docs)
+                    more = _more_docs(n[u], number[some], min_docs)
                     next_docs = _zigzag(held_docs[np.repeat(held_from[some] + 1 - (np.cumsum(more) - more), more) + np.arange(more.sum())])
                     docs_ = _pack(next_docs) if len(next_docs) else b""
                     rows.append((block, int(bucket[some[0]]), b - a, len(data).to_bytes(8, "little") + data + len(docs_).to_bytes(8, "little") + docs_ + pa.compress(signs.tobytes(), codec="zstd", asbytes=True), None))
@@ -254,11 +262,6 @@ def _judge(min_docs: int):
     """A bucket's answer to each block: for each unit 2 if its template is found often enough, 1 if in two documents and long
     enough for a passage, else 0; and the first document that holds it."""
 
-    def needed(n):
-        import numpy as np
-
-        return np.where(n < FEW_TOKENS, max(FEW_DOCS, min_docs), min_docs)
-
     def each(batches):
         import numpy as np
 
@@ -272,7 +275,7 @@ def _judge(min_docs: int):
                 parts.append(c)
                 at = 16 + size + int.from_bytes(data[8 + size : 16 + size], "little")
                 if at > 16 + size:
-                    others += _unpack(data[16 + size : at], int(_more_docs(c[3], c[4], min_docs).sum()), 1)
+                    others += _unpack(data[16 + size : at], int(_more_docs(c[2], c[4], min_docs).sum()), 1)
                 shown = int(np.where(c[3] > 0, np.minimum(c[2], SIGNS), 0).sum())
                 signs.append(np.frombuffer(pa.decompress(data[at:], shown, codec="zstd", asbytes=True), np.uint8))
             name, leaf, n, is_line, number, least = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -281,19 +284,20 @@ def _judge(min_docs: int):
             shown = np.where(is_line > 0, np.minimum(n, SIGNS), 0)
             start = np.cumsum(shown) - shown
             kinds, one, of = np.unique(name, return_index=True, return_inverse=True)
-            docs = np.bincount(of, weights=number.astype(np.float64)).astype(np.int64)
-            first = np.full(len(kinds), np.iinfo(np.int64).max)
-            np.minimum.at(first, of, least)
-            size = n[one]
-            status = np.where(docs >= needed(size), 2, np.where((docs >= 2) & (size >= SENTENCE), 1, 0))
+            # the documents of each unit, in order and each once
+            met, met_docs = np.concatenate([of, np.repeat(of, _more_docs(n, number, min_docs))]), np.concatenate([least, others])
+            by = np.lexsort((met_docs, met))
+            met, met_docs = met[by], met_docs[by]
+            new = np.append(True, (met[1:] != met[:-1]) | (met_docs[1:] != met_docs[:-1]))
+            met, met_docs = met[new], met_docs[new]
+            bounds = np.searchsorted(met, np.arange(len(kinds) + 1))
+            docs, first, size = np.diff(bounds), met_docs[bounds[:-1]], n[one]
+            status = np.where(docs >= _needed(size, min_docs), 2, np.where((docs >= 2) & (size >= SENTENCE), 1, 0))
             # lines of a leaf join templates
             lines = np.flatnonzero(is_line[one] > 0)
             lines = lines[np.lexsort((kinds[lines], size[lines], leaf[one][lines]))]
             key = np.stack([leaf[one][lines], size[lines].astype(np.uint64)], 1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(lines)]
-            met = np.concatenate([of, np.repeat(of, _more_docs(is_line, number, min_docs))])
-            by = np.argsort(met, kind="stable")
-            met_docs, bounds = np.concatenate([least, others])[by], np.searchsorted(met[by], np.arange(len(kinds) + 1))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a < 2:
                     continue
@@ -307,7 +311,7 @@ def _judge(min_docs: int):
                     if len(own) < 2:
                         continue
                     seen = np.unique(np.concatenate([met_docs[bounds[k] : bounds[k + 1]] for k in own]))
-                    if len(seen) >= needed(size[own[0]]):
+                    if len(seen) >= _needed(size[own[0]], min_docs):
                         status[own], first[own] = 2, seen[0]
             rows, a = [], 0
             for r in run:
