@@ -861,3 +861,41 @@ def test_pipeline_stages(spark, odd):
     for stage in range(4):
         assert corpus_pipeline.STAGES[stage][1](spark, odd, "").columns == odd.columns
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def _left_in_workers(spark):
+    """Megabytes that each worker holds, and how many models it keeps."""
+
+    def look(batches):
+        import time
+
+        import pyarrow as pa
+
+        from tidesift.llm import tokens
+
+        for _ in batches:
+            pass
+        time.sleep(1)  # so that every idle worker gets a task
+        held = sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+        yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([len(getattr(base, "kept", getattr(tokens, "_models", {})))])], names=["mb", "models"])
+
+    return [tuple(r) for r in spark.range(4, numPartitions=4).mapInArrow(look, "mb double, models long").collect()]
+
+
+def test_pipeline_stages_leave_workers_small(spark, tmp_path):
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60_000)]
+    made = [(i, "\n".join(" ".join(r.choices(words, k=12)) for _ in range(120)), "a") for i in range(1200)]
+    spark.createDataFrame(made, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    docs.limit(20).write.parquet(f"{tmp_path}/few")
+    few = spark.read.parquet(f"{tmp_path}/few")
+    corpus_pipeline.packed(spark, few.repartition(4), "").collect()
+    before = _left_in_workers(spark)
+    assert max(n for _, n in before) == 1
+    lines = corpus_pipeline.lines(spark, docs, "")
+    assert lines.count() == len(made)
+    after = _left_in_workers(spark)
+    # a stage without a tokenizer drops that of the workers it uses
+    assert sum(n for _, n in after) < sum(n for _, n in before)
+    assert max(mb for mb, _ in after) < max(mb for mb, _ in before) + 70, (before, after)

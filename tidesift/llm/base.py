@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: What has been stashed and not dropped, for each stage that is being written.
 _open: list[list[DataFrame]] = []
+#: What a worker process keeps from one task to the next: models with their tables.
+kept: dict[tuple, object] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +86,39 @@ def ship(spark: SparkSession) -> None:
     context._tidesift_shipped = True
 
 
+def lean(each: Callable, keep: bool = False) -> Callable:
+    """A function for mapInArrow whose tasks leave a worker small.
+
+    Workers live on between tasks and stages, and allocators keep what was freed: without this, an executor pays for the largest
+    task of each worker as long as it runs. What the worker keeps goes before the first batch unless the tasks use it (``keep``).
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        if not keep:
+            forget()
+        try:
+            yield from each(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def forget() -> None:
+    """Drop what this worker keeps."""
+    kept.clear()
+
+
+def give_back() -> None:
+    """Return memory that nothing uses to the system: Arrow's pool, then the C library's heap where it can be trimmed."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def whole_rows(docs: DataFrame) -> DataFrame:
     """row: each row as one struct, so that no column of the input can clash with an operator's own."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stash, whole_rows
+from .base import lean, stash, whole_rows
 from .lm import _mix, _pack, _unpack
 
 #: A token of one of these kinds is a field wherever it stands.
@@ -426,13 +426,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = MOST) -> DataFrame:
     chars = d.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(1, (chars // BUCKET_CHARS).bit_length())
     names = [x.split()[0] for x in ROWS.split(", ")]
-    made = stash(d.mapInArrow(_blocks(BLOCK_CHARS, buckets, min_docs, names), ROWS))
+    made = stash(d.mapInArrow(lean(_blocks(BLOCK_CHARS, buckets, min_docs, names)), ROWS))
     asked = made.where("bucket is not null").drop("rows").repartition(min(TASKS, 2**buckets), "bucket").sortWithinPartitions("bucket", "block")
-    answers = asked.withColumn("rows", F.lit(None).cast("binary")).mapInArrow(_judge(min_docs), ROWS)
+    answers = asked.withColumn("rows", F.lit(None).cast("binary")).mapInArrow(lean(_judge(min_docs)), ROWS)
     blocks = made.where("bucket is null")
     met = blocks.unionByName(answers).repartition(min(TASKS, max(1, -(-chars // BLOCK_CHARS))), "block").sortWithinPartitions("block", F.col("bucket").isNotNull())
     kinds = [f"`{c}` {'string' if c == 'text' else docs.schema[c].dataType.simpleString()}" for c in own]
-    return met.mapInArrow(_finish(own, [*own, "n_lines", "n_dropped", "n_cut"]), ", ".join([*kinds, "n_lines long", "n_dropped long", "n_cut long"]))
+    return met.mapInArrow(lean(_finish(own, [*own, "n_lines", "n_dropped", "n_cut"])), ", ".join([*kinds, "n_lines long", "n_dropped long", "n_cut long"]))
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:

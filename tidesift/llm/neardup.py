@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import drop_stash, id_text, stash, whole_rows
+from .base import drop_stash, id_text, lean, stash, whole_rows
 from .graph import connected_components
 
 SHINGLE = 5
@@ -97,7 +97,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_shingles", "s1", "s2", "regs"])
 
-    return id_text(docs).mapInArrow(each, "doc_id long, n_shingles long, s1 long, s2 long, regs binary")
+    return id_text(docs).mapInArrow(lean(each), "doc_id long, n_shingles long, s1 long, s2 long, regs binary")
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def band_keys(nodes: DataFrame) -> DataFrame:
             node = np.repeat(batch.column("node").to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(node)], names=["key", "node"])
 
-    return nodes.select("node", "regs").mapInArrow(each, "key long, node long")
+    return nodes.select("node", "regs").mapInArrow(lean(each), "key long, node long")
 
 
 @dataclass(frozen=True)
@@ -290,7 +290,7 @@ def _verified(texts: DataFrame, rows: DataFrame) -> DataFrame:
         if key is not None:
             yield close()
 
-    return rows.mapInArrow(each, "a long, b long")
+    return rows.mapInArrow(lean(each), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import id_text, stash
+from .base import id_text, lean, stash
 from .tokens import WordIds, _once, slices
 
 END_ID = b"\x01\x00\x00\x00"
@@ -279,7 +279,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) ->
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return id_text(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return id_text(docs).mapInArrow(lean(cut, keep=True), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, chunk: int = 256) -> DataFrame:
@@ -325,7 +325,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, chunk: int = 256) -> DataFrame
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "sequence_id", "offset"])
 
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name in columns]
-    return numbered.mapInArrow(place, ", ".join([*kinds, "sequence_id long", "offset long"]))
+    return numbered.mapInArrow(lean(place, keep=True), ", ".join([*kinds, "sequence_id long", "offset long"]))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:

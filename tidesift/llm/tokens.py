@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_text, stash
+from .base import id_text, kept, stash
 
 #: Entries of a worker's table while it gathers; at this size it is emptied, which costs time only.
 TABLE_ENTRIES = 400_000
@@ -55,14 +55,11 @@ class Pieces:
         return [1 if not t else len(ids) - (t[0] == "\n") for t, ids in zip(tokens, found, strict=True)]
 
 
-_models: dict[tuple, object] = {}
-
-
 def _once(kind, *args):
-    """One model with its table for each worker process, kept between tasks."""
-    if (kind, args) not in _models:
-        _models[kind, args] = kind(*args)
-    return _models[kind, args]
+    """One model with its table for each worker process, kept between tasks that use it."""
+    if (kind, args) not in kept:
+        kept[kind, args] = kind(*args)
+    return kept[kind, args]
 
 
 def slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[pa.Array]:
